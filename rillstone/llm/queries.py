@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprint import fingerprints
+from .lang_id import identify
+from .license_scan import PHRASES, TEMPLATES, THRESHOLD, license_scan
 from .substring_dedup import substring_dedup
 
 
@@ -39,3 +42,44 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha25
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_substring_dedup": op2_substring_dedup}
 SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL}
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+_WORDS = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(TEMPLATES))
+_BASE = " UNION ALL ".join(
+    f"SELECT row, '{label}' AS label, i - 1 AS start FROM d, unnest(range(1, len(words) + 1)) AS u(i) WHERE " + " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
+    for phrase, label in PHRASES.items()
+)
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text, {_WORDS.format("text")} AS words FROM documents),
+base AS ({_BASE}),
+found AS (SELECT row, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM base GROUP BY row),
+t AS (SELECT id, label, list_distinct(string_split(words, ' ')) AS words FROM (VALUES {_TEMPLATE_ROWS}) AS v(id, label, words)),
+tw AS (SELECT id, label, len(words) AS size, unnest(words) AS word FROM t),
+line AS (SELECT row, k, string_split(coalesce(text, ''), chr(10))[k] AS line FROM d, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(k)),
+lw AS (SELECT DISTINCT row, k, unnest({_WORDS.format("line")}) AS word FROM line),
+hit AS (SELECT row, k, id, label, count(*) / size AS share, count(*) AS n, size FROM lw JOIN tw USING (word) GROUP BY row, k, id, label, size HAVING count(*) >= {THRESHOLD} * size),
+more AS (SELECT row, max(share) AS share, list_distinct(list(label)) AS labels FROM hit GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(found.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM d LEFT JOIN found USING (row) LEFT JOIN more USING (row)
+"""
+QUERIES |= {"op5_document_fingerprints": op5_document_fingerprints, "op3_license_scan": op3_license_scan}
+SQL |= {"op3_license_scan": OP3_SQL}
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_language_id"] = op10_language_id

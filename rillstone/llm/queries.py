@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .fingerprint import fingerprints
 from .lang_id import identify
 from .license_scan import PHRASES, TEMPLATES, THRESHOLD, license_scan
+from .pieces import encode
 from .substring_dedup import substring_dedup
+from .toxicity import score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,3 +85,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_language_id"] = op10_language_id
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES["op4_toxicity"] = op4_toxicity
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "score", "ids_sha256", "nbest", "round_trip")
+
+
+QUERIES["op9_sentencepiece"] = op9_sentencepiece

@@ -11,6 +11,8 @@ from .fingerprint import fingerprints
 from .html_text import extract
 from .lang_id import identify
 from .license_scan import PHRASES, TEMPLATES, THRESHOLD, license_scan
+from .mixing import mix
+from .near_dedup import near_duplicates
 from .pieces import encode
 from .substring_dedup import substring_dedup
 from .topk_search import top_k
@@ -124,3 +126,17 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 QUERIES |= {"op8_html_text": op8_html_text, "op6_exact_top_k": op6_exact_top_k}
 SQL["op6_exact_top_k"] = OP6_SQL
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+QUERIES["op7_near_dedup"] = op7_near_dedup
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+QUERIES["op1_mixing"] = op1_mixing

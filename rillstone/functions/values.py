@@ -231,7 +231,7 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
     a, b, t = meet(a, b)
     if t not in (I64, F64, INT, FLOAT):
         raise TypeProblem(f"`{op}` needs numbers, not `{t}`")
-    if t in (INT, FLOAT) and op not in ("/", "%"):
+    if t in (INT, FLOAT) and op not in ("/", "%") and a.literal is not None and b.literal is not None:
         value = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y}[op](a.literal, b.literal)
         return lit(wrap(value) if t == INT else float(value))
     t = settle(t)

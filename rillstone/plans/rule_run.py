@@ -246,17 +246,20 @@ class Runner(Exprs):
         plans = {r: [(p, at(p)) for p in self.checked.plans.get(r, [])] for r in comp}
         parts: dict[str, list[DataFrame]] = {}
         new: dict[str, DataFrame] = {}
+        sizes: dict[str, int | None] = {}
         for r in comp:
             start = self.union(r, [self.rule(p, lambda a, _: self.relations[a.relation]) for p, ks in plans[r] if not ks])
-            new[r] = self.scratch.keep(start.df)
+            new[r], sizes[r] = self.scratch.keep_round(start.df, 0)
             parts[r] = [new[r]]
         while True:
             full = {r: reduce(lambda a, b: a.unionByName(b), ds) for r, ds in parts.items()}
             fresh: dict[str, DataFrame] = {}
+            later: dict[str, int | None] = {}
             for r in comp:
                 derived = []
                 for p, ks in plans[r]:
-                    for k in ks:  # each occurrence in turn reads the new rows, the others all rows
+                    # an occurrence without new rows derives nothing
+                    for k in [k for k in ks if sizes[p.steps[k].statement.relation] != 0]:  # each occurrence in turn reads the new rows, the others all rows
 
                         def lookup(a, j, k=k):
                             if a.relation not in inside:
@@ -265,14 +268,15 @@ class Runner(Exprs):
 
                         derived.append(self.rule(p, lookup))
                 if not derived:
-                    fresh[r] = self.empty(r)
+                    fresh[r], later[r] = self.empty(r), 0
                     continue
                 df = self.union(r, derived).df
                 types = self.checked.types[r]
                 was = full[r].select(*[F.col(c).alias(f"__{c}") for c in full[r].columns])
                 on = reduce(lambda a, b: a & b, [both(F.col(c), F.col(f"__{c}"), is_optional(types.get(c, BOOL))) for c in full[r].columns])
-                fresh[r] = self.scratch.keep(df.join(was, on, "left_anti"))
-            if all(d.isEmpty() for d in fresh.values()):
+                fresh[r], later[r] = self.scratch.keep_round(df.join(was, on, "left_anti"), sizes[r])
+            sizes = later
+            if not any(n is None or n for n in sizes.values()):
                 break
             new = fresh
             for r in comp:

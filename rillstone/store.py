@@ -17,6 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Most rows of a round that go through the driver.
+SMALL = 20_000
+
+
 class Scratch:
     """Writes tables once and reads them again, so that lineage ends there and lost executors cost no recomputation."""
 
@@ -33,6 +37,20 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def keep_round(self, df: DataFrame, last: int | None) -> tuple[DataFrame, int | None]:
+        """Keep one round of an iteration: (table, rows), rows being None for a large one.
+
+        A round after a small one is fetched with a limit of ``SMALL`` rows; if it
+        fits, it becomes literal rows of the plan, which spares a write and a read.
+        Larger rounds are written, whatever their size.
+        """
+        if last is not None and last <= SMALL // 4:
+            got = df.limit(SMALL + 1).toArrow()
+            if got.num_rows <= SMALL:
+                return self.spark.createDataFrame(got, df.schema), got.num_rows
+        out = self.keep(df)
+        return out, 0 if out.isEmpty() else None
+
     def drop(self, *kept: DataFrame) -> None:
         """Delete tables that no later result reads."""
         jvm = self.spark.sparkContext._jvm

@@ -186,13 +186,14 @@ class Flow:
     def _iterate(self, node: Node, loop, lag: int) -> dict[str, DataFrame]:
         """Rounds from empty until no recursive stream changes; monotone bodies see only the last round's new rows."""
         fixed = {i: self.total(i, lag) for i in node.inputs}
-        fixed = {i: None if d is None else self.scratch.keep(d) for i, d in fixed.items()}
+        fixed = {i: None if d is None else self.scratch.keep_round(d, 0)[0] for i, d in fixed.items()}
         variables = {v: label for label, v, _ in loop}
         body = self._body([b for *_, b in loop], set(fixed) | set(variables))
         monotone = all(self.node(x).op in MONOTONE for x in body)
         none = {label: self.empty(v) for label, v, _ in loop}
         old, now, new = dict(none), dict(none), dict(none)
-        first = True
+        first, rounds = True, 0
+        sizes: dict[str, int | None] = {label: 0 for label, *_ in loop}
         while True:
             state = {"total": (dict(now), dict(old)), "change": (dict(new), dict(none))}
 
@@ -208,12 +209,16 @@ class Flow:
                 cells = Z.cells(got)
                 was = now[label]
                 if monotone:
-                    more[label] = self.scratch.keep(got.join(was.select(*[F.col(c).alias(f"was_{c}") for c in cells]), [F.col(c).eqNullSafe(F.col(f"was_{c}")) for c in cells], "left_anti").select(*cells, "w"))
+                    more[label], sizes[label] = self.scratch.keep_round(got.join(was.select(*[F.col(c).alias(f"was_{c}") for c in cells]), [F.col(c).eqNullSafe(F.col(f"was_{c}")) for c in cells], "left_anti").select(*cells, "w"), sizes[label])
                     grown[label] = was.unionByName(more[label])
                 else:
                     grown[label] = self.scratch.keep(got)
                     more[label] = Z.consolidate(Z.added(grown[label], Z.negated(was)))
+                    sizes[label] = 0 if more[label].isEmpty() else None
             first = False
-            if all(d.isEmpty() for d in more.values()):
+            if not any(n is None or n for n in sizes.values()):
                 return now
-            old, now, new = now, {k: self.scratch.keep(d) if monotone else d for k, d in grown.items()}, more
+            rounds += 1
+            if monotone and rounds % 8 == 0:
+                grown = {k: self.scratch.keep_round(d, sizes[k])[0] for k, d in grown.items()}
+            old, now, new = now, grown, more

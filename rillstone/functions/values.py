@@ -412,7 +412,7 @@ def from_document(t: Type, doc: Column) -> Column:
     if t == STRING:
         return F.when(_kind(doc) == '"', F.try_variant_get(F.try_parse_json(doc), "$", "string"))
     if t.name == "array":
-        items = F.transform(F.try_variant_get(F.try_parse_json(doc), "$", "array<variant>"), F.to_json)
+        items = F.transform(F.try_variant_get(F.try_parse_json(doc), "$", "array<variant>"), lambda x: F.to_json(x))
         return F.when(_kind(doc) == "[", _all_of(t.args[0], items))
     if t.name == "record":
         if not t.fields:
@@ -514,7 +514,7 @@ def from_dynamic(t: Type, d: Column) -> Column:
         b = body(_TAGS[t])
         return from_document(t, b) if t in (BOOL, I64, F64, STRING) else from_text(t, from_document(STRING, b))
     if t.name == "array":
-        items = F.transform(F.try_variant_get(F.try_parse_json(body("array")), "$", "array<variant>"), F.to_json)
+        items = F.transform(F.try_variant_get(F.try_parse_json(body("array")), "$", "array<variant>"), lambda x: F.to_json(x))
         made = F.transform(items, lambda x: from_dynamic(t.args[0], x))
         return made if t.args[0].name == "optional" else F.when(~F.exists(made, lambda x: x.isNull()), made)
     if t.name == "record":

@@ -19,19 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF, QUERY_BLOCK, DATA_BLOCK = 48, 2048, 16384
+LEAF, QUERY_BLOCK, DATA_BLOCK = 1024, 2048, 16384
 
 
 class Node:
     """A cover-tree node: its points, their centre and covering radius, and its children."""
 
-    __slots__ = ("rows", "center", "norm", "radius", "children", "worst")
+    __slots__ = ("rows", "center", "norm", "radius", "children")
 
     def __init__(self, rows: np.ndarray, center: np.ndarray, radius: float):
         self.rows, self.center, self.radius = rows, center, radius
         self.norm = float(np.sqrt(center @ center))
         self.children: list[Node] = []
-        self.worst = -np.inf
 
 
 def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, center: int | None = None) -> Node:
@@ -65,35 +64,47 @@ def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, center: int |
     return node
 
 
+#: Bits of a key that hold a row's place; scores of up to 62 - ROW_BITS bits fit beside it.
+ROW_BITS = 20
+LOW = np.iinfo(np.int64).min
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, data row, score) of the k best of each query; equal scores go to the smaller id, own ids are left out.
 
-    Integer-valued vectors in doubles: products are exact below 2**53.
+    ``data`` is sorted by id and has less than 2**ROW_BITS rows.  A candidate is
+    one integer, its score above its place from the end, so that greater keys are
+    better and ties need no second look.  Integer-valued vectors in doubles:
+    products are exact below 2**53; larger scores than the keys hold are refused.
     """
-    scores = np.full((len(queries), k), -np.inf)
-    found = np.full((len(queries), k), np.iinfo(np.int64).max)
-    rows = np.full((len(queries), k), -1)
+    keys = np.full((len(queries), k), LOW)
+    worst = np.full(len(queries), LOW)
+    if not len(queries) or not len(data):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    norms = [float(np.sqrt((x**2).sum(axis=1).max())) for x in (queries, data)]
+    if norms[0] * norms[1] >= 1 << (62 - ROW_BITS) or len(data) >= 1 << ROW_BITS:
+        raise ValueError("scores beyond 2**42 are not supported")
+    last = (1 << ROW_BITS) - 1
 
     def leaf(q: Node, d: Node) -> None:
-        s = queries[q.rows] @ data[d.rows].T
-        s[query_ids[q.rows][:, None] == data_ids[d.rows][None, :]] = -np.inf
-        ids = np.broadcast_to(data_ids[d.rows], s.shape)
-        at = np.broadcast_to(d.rows, s.shape)
-        if s.shape[1] > 4 * k:
-            # a score below the k-th best of this block can't stay; ties with it can
-            edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            s = np.where(s >= edge[:, None], s, -np.inf)
-        s, ids, at = (np.concatenate(x, axis=1) for x in ((scores[q.rows], s), (found[q.rows], ids), (rows[q.rows], at)))
-        order = np.lexsort((ids, -s), axis=1)[:, :k]
-        take = lambda x: np.take_along_axis(x, order, axis=1)
-        scores[q.rows], found[q.rows], rows[q.rows] = take(s), take(ids), take(at)
-        q.worst = float(scores[q.rows, -1].min())
+        new = ((queries[q.rows] @ data[d.rows].T).astype(np.int64) << ROW_BITS) + (last - d.rows)[None, :]
+        if own_ids[d.rows].any():
+            new[query_ids[q.rows][:, None] == data_ids[d.rows][None, :]] = LOW
+        better = np.flatnonzero(new.max(axis=1) > worst[q.rows])
+        if len(better):
+            rows = q.rows[better]
+            both = np.concatenate((keys[rows], new[better]), axis=1)
+            keys[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+            worst[rows] = keys[rows].min(axis=1)
+
+    own_ids = np.isin(data_ids, query_ids)
 
     def bound(q: Node, d: Node) -> float:
         return float(q.center @ d.center) + q.norm * d.radius + d.norm * q.radius + q.radius * d.radius
 
     def visit(q: Node, d: Node, most: float) -> None:
-        if most < q.worst:  # an equal score can still win by its id
+        # equal scores can still win by their ids; the margin covers the bound's rounding
+        if most + 1e-6 * (1 + abs(most)) < int(worst[q.rows].min()) >> ROW_BITS:
             return
         if not q.children and not d.children:
             leaf(q, d)
@@ -102,14 +113,12 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
         pairs = [(x, d) for x in q.children] if split_q else [(q, x) for x in d.children]
         for most, x, y in sorted(((bound(x, y), x, y) for x, y in pairs), key=lambda t: -t[0]):
             visit(x, y, most)
-        if q.children:
-            q.worst = max(q.worst, min(x.worst for x in q.children))
-
-    if len(queries) and len(data):
-        q, d = cover_tree(queries), cover_tree(data)
-        visit(q, d, bound(q, d))
-    keep = (rows >= 0) & np.isfinite(scores)
-    return np.nonzero(keep)[0], rows[keep], scores[keep]
+
+    q, d = cover_tree(queries), cover_tree(data)
+    visit(q, d, bound(q, d))
+    at, place = np.nonzero(keys > LOW)
+    found = keys[at, place]
+    return at, last - (found & last), found >> ROW_BITS
 
 
 def top_k(vectors: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, scale: int = 64) -> DataFrame:

@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: How far a byte piece's score lies below the least score of the vocabulary.
 UNKNOWN_PENALTY = 10.0
-#: Bound of each worker's cache of words; it is emptied when full.
+#: Bound of each generation of a worker's known words (about 300 bytes each).
 CACHE_WORDS = 400_000
 NBEST = 4
 
@@ -174,47 +174,55 @@ def packed(ids) -> bytes:
 
 @dataclass
 class Encoder:
-    """Segments texts with a bounded cache of words: their best ids (packed), score, and the second best's loss."""
+    """Segments texts, with two bounded generations of known words: packed best ids, score, and the second best's loss.
+
+    A full generation becomes the old one; words that are met again move to the young one.
+    """
 
     vocabulary: Vocabulary
     n: int
-    known: dict[str, int] = field(default_factory=dict)
-    best: list[bytes] = field(default_factory=list)
-    score: list[float] = field(default_factory=list)
-    loss: list[float] = field(default_factory=list)
-
-    def _learn(self, word: str) -> int:
-        score, path, loss = self.vocabulary.best_and_loss(word)
-        self.best.append(packed([i for ids in path for i in ids][::-1]))
-        self.score.append(score)
-        self.loss.append(loss)
-        self.known[word] = k = len(self.best) - 1
-        return k
+    young: dict[str, tuple[bytes, float, float]] = field(default_factory=dict)
+    old: dict[str, tuple[bytes, float, float]] = field(default_factory=dict)
+    ways: dict[str, list[tuple[float, bytes]]] = field(default_factory=dict)
+
+    def _learn(self, word: str) -> tuple[bytes, float, float]:
+        known = self.old.get(word)
+        if known is None:
+            score, path, loss = self.vocabulary.best_and_loss(word)
+            known = (packed([i for ids in path for i in ids][::-1]), score, loss)
+        self.young[word] = known
+        return known
+
+    def _ways(self, word: str) -> list[tuple[float, bytes]]:
+        found = self.ways.get(word)
+        if found is None:
+            if len(self.ways) >= CACHE_WORDS // 16:
+                self.ways.clear()
+            found = self.ways[word] = [(s, packed(ids)) for s, ids in self.vocabulary.nbest(word, self.n)]
+        return found
 
     def __call__(self, text: str) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text: (score, packed ids), best first."""
-        if len(self.known) > CACHE_WORDS:
-            for store in (self.known, self.best, self.score, self.loss):
-                store.clear()
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
         words = self.vocabulary.words(text)
         if not words:
             return [(0.0, b"")]
-        get = self.known.get
-        at = [k if (k := get(w)) is not None else self._learn(w) for w in words]
-        parts = [self.best[k] for k in at]
-        out = [(float(sum([self.score[k] for k in at])), b"".join(parts))]
+        get = self.young.get
+        parts, scores, losses = zip(*[get(w) or self._learn(w) for w in words])
+        out = [(float(sum(scores)), b"".join(parts))]
         if self.n == 1:
             return out
-        losses = np.array([self.loss[k] for k in at])
-        if len(at) >= self.n:
+        lost_by = np.array(losses)
+        if len(words) >= self.n:
             # only n - 1 words can differ: those that lose least, earlier ones first among equals
-            cut = np.partition(losses, self.n - 2)[self.n - 2]
-            near = np.flatnonzero(losses <= cut)
-            near = near[np.argsort(losses[near], kind="stable")][: self.n - 1]
+            cut = np.partition(lost_by, self.n - 2)[self.n - 2]
+            near = np.flatnonzero(lost_by <= cut)
+            near = near[np.argsort(lost_by[near], kind="stable")][: self.n - 1].tolist()
         else:
-            near = np.arange(len(at))
-        near = [j for j in near.tolist() if losses[j] < 1e290]
-        ways = [self.vocabulary.nbest(words[j], self.n) for j in near]
+            near = range(len(words))
+        near = [j for j in near if losses[j] < 1e290]
+        ways = [self._ways(words[j]) for j in near]
         start = (0,) * len(near)
         heap, seen = [(0.0, start)], {start}
         while heap and len(out) < self.n:
@@ -222,7 +230,7 @@ class Encoder:
             if any(state):
                 changed = list(parts)
                 for j, w, r in zip(near, ways, state):
-                    changed[j] = packed(w[r][1])
+                    changed[j] = w[r][1]
                 out.append((out[0][0] - lost, b"".join(changed)))
             for x, w in enumerate(ways):
                 r = state[x] + 1
@@ -232,6 +240,18 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def worker_encoder(vocabulary: Vocabulary, model: str, n: int) -> Encoder:
+    """This worker's encoder, kept from task to task with the words it knows; one model and n at a time."""
+    key = f"{model}|{n}"
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary, n)
+    return _encoders[key]
+
+
 ADDED = "ids array<int>, n_tokens long, score double, ids_sha256 string, nbest array<struct<score: double, n_tokens: long, ids_sha256: string>>, round_trip boolean"
 
 
@@ -253,7 +273,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, nbest
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), ADDED])
 
     def run(batches):
-        encoder = Encoder(vocabulary.value, nbest)
+        encoder = worker_encoder(vocabulary.value, model, nbest)
         for batch in batches:
             for s in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(s, 256)

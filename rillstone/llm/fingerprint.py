@@ -6,7 +6,7 @@ power of two.  So the order of paragraphs doesn't matter, and a paragraph is
 inserted or deleted by adding or subtracting its vector.  A vector has
 
 * ``EQUAL`` lanes modulo 2**32, filled by four seeded 64-bit hashes of the paragraph, and
-* one lane modulo 2**32 that counts the paragraph's *pieces* (cut behind ``.,;:!?`` and a space), and
+* one lane modulo 2**32 that counts the paragraph's *pieces* (cut at spaces behind ``.,;:!?`` and words in d, g or y), and
 * 128 lanes modulo 2**14 that hold, for each bit of two 64-bit hashes of a piece, how many pieces have it set.
 
 The first decide equality.  Twice a bit's count less the number of pieces is a
@@ -38,7 +38,7 @@ def with_vector(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``, the fingerprint vector (41 longs) of the string column ``text`` (null counts as empty)."""
     q = f"coalesce(`{text}`, '')"
     hashes = [f"transform(split({q}, '\\n', -1), p -> xxhash64({s}, p)) AS e{s}" for s in range(SEEDS)]
-    pieces = [f"transform(split({q}, '\\n|(?<=[.,;:!?]) ', -1), p -> xxhash64({s}, p)) AS b{s}" for s in (11, 12)]
+    pieces = [f"transform(split({q}, '\\n|(?<=[.,;:!?dgy]) ', -1), p -> xxhash64({s}, p)) AS b{s}" for s in (11, 12)]
     h = "__h"
     df = df.withColumn(h, F.expr(f"named_struct({', '.join(f'{chr(39)}{x.split(chr(32))[-1]}{chr(39)}, {x.rpartition(" AS ")[0]}' for x in [*hashes, *pieces])})"))
     equal = ", ".join(f"{_sum32(f'{h}.e{s}', 'h')}, {_sum32(f'{h}.e{s}', 'shiftrightunsigned(h, 32)')}" for s in range(SEEDS))

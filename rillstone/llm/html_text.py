@@ -26,6 +26,7 @@ RAW = frozenset("script style textarea title noscript iframe template svg math".
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("head nav footer aside form button select option dialog menu header".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("article main section div body center td html #".split())
 CLOSES_P = BLOCK - frozenset(("option", "legend", "caption"))
 #: Parts of class, id and role names that mark boilerplate.
 MARKS = frozenset(
@@ -158,7 +159,7 @@ def _container(chosen: list[tuple[_Element, int]]) -> _Element | None:
     articles = [k for k, e in by.items() if e.name in ("article", "main") and not any(u.name in ("article", "main") for u in _up(e.parent))]
     if articles:
         return by[max(articles, key=lambda k: weight[k])]
-    holding = [k for k in by if weight[k] >= HOLDS * total and by[k].name in BLOCK | {"#"}]
+    holding = [k for k in by if weight[k] >= HOLDS * total and by[k].name in CONTAINERS]
     return by[max(holding, key=lambda k: by[k].path.count("/"))] if holding else None
 
 

@@ -72,8 +72,8 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Returns id_col, n_words, n_base (places where a phrase's words stand in a
     row), first_word and last_word (smallest and largest such start, from 0, else
-    null), base_labels, labels (those of phrases and of matching templates; both
-    distinct, sorted, comma-joined), score (1 where a phrase stands, else the
+    null), base_labels, labels (those of phrases and of each line's best matching
+    templates; both distinct, sorted, comma-joined), score (1 where a phrase stands, else the
     greatest containment of a matching template, else 0) and matches (label and
     containment by matching line and template).
 
@@ -111,12 +111,14 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         exact = F.filter(passed, lambda t: F.size(F.array_intersect(t["t"], b)) >= t["need"])
         return F.transform(exact, lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["t"], b)) / F.size(t["t"])).alias("share")))
 
-    base = base.withColumn("matches", F.flatten(F.transform("blocks", hits)))
+    base = base.withColumn("hits", F.transform("blocks", hits))
+    best = F.transform("hits", lambda h: F.filter(h, lambda m: m["share"] == F.array_max(h["share"])))
+    base = base.withColumns({"matches": F.flatten("hits"), "best": F.flatten(best)})
     every = F.concat(*[F.col(f"at.{label}") for label in PHRASES.values()])
     stood = F.filter(F.array(*[F.when(F.size(f"at.{x}") > 0, F.lit(x)) for x in PHRASES.values()]), lambda x: x.isNotNull())
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return base.select(
         F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"), F.array_min(every).alias("first_word"), F.array_max(every).alias("last_word"),
-        joined(stood).alias("base_labels"), joined(F.concat(stood, F.col("matches.label"))).alias("labels"),
+        joined(stood).alias("base_labels"), joined(F.concat(stood, F.col("best.label"))).alias("labels"),
         F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("matches.share")), F.lit(0.0))).alias("score"), "matches",
     )

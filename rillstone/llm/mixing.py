@@ -32,7 +32,7 @@ TARGETS = {"fine": 0.80, "poor": 0.15, "toxic": 0.05}
 #: Bound of the training sample, in documents of each domain.
 PER_DOMAIN = 1500
 BITS, EPOCHS, RATE, SEED = 15, 40, 0.1, 3
-STEPS, TOLERANCE = 60, 1e-6
+STEPS, TOLERANCE = 100, 1e-4
 STYLE = 7
 
 
@@ -126,18 +126,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, per
     return fit_classifier(ids, np.repeat(np.arange(len(n)), n), n, style, np.asarray(got.column("domain")).astype(np.int64), prior / max(prior.sum(), 1))
 
 
-def replay(p: np.ndarray, history: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, extrapolated rates) of documents with posteriors ``p`` after the gradients of ``history``."""
+def replay(p: np.ndarray, history: np.ndarray, step: float, momentum: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, extrapolated rates) of documents with posteriors ``p`` after the gradients of ``history``; a momentum of None grows with the steps."""
     r = y = np.ones(len(p))
     for k, g in enumerate(history):
         new = np.maximum(0, y - step * (p @ g))
-        y = new + (k / (k + 3)) * (new - r)
+        y = new + (k / (k + 3) if momentum is None else momentum) * (new - r)
         r = new
     return r, y
 
 
-def fit_rates(table: DataFrame, target: np.ndarray) -> tuple[np.ndarray, float]:
-    """(history of gradients, step) for a table (n_tokens, p: array); each step aggregates all rows once."""
+def fit_rates(table: DataFrame, target: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(history of gradients, step, momentum) for a table (n_tokens, p: array); each step aggregates all rows once."""
     k = len(target)
 
     def totals(history: np.ndarray, step: float, gram: bool = False):
@@ -146,7 +146,7 @@ def fit_rates(table: DataFrame, target: np.ndarray) -> tuple[np.ndarray, float]:
             for batch in batches:
                 n = np.asarray(batch.column("n_tokens")).astype(float)
                 p = np.asarray(batch.column("p").flatten()).reshape(-1, k)
-                r, y = replay(p, history, step)
+                r, y = replay(p, history, step, momentum)
                 out[:k] += (n * r) @ p
                 out[k : 2 * k] += (n * y) @ p
                 out[2 * k] += n.sum()
@@ -160,11 +160,15 @@ def fit_rates(table: DataFrame, target: np.ndarray) -> tuple[np.ndarray, float]:
             out[at] = v
         return out
 
+    momentum = 0.0
     first = totals(np.zeros((0, k)), 0.0, gram=True)
     tokens = first[2 * k]
     if not tokens:
-        return np.zeros((0, k)), 0.0
-    step = 1 / max(float(np.linalg.eigvalsh(first[2 * k + 1 :].reshape(k, k) / tokens)[-1]), 1e-9)
+        return np.zeros((0, k)), 0.0, 0.0
+    spectrum = np.linalg.eigvalsh(first[2 * k + 1 :].reshape(k, k) / tokens)
+    step = 1 / max(float(spectrum[-1]), 1e-9)
+    root = float(np.sqrt(max(spectrum[0] * step, 1e-3)))  # the best constant momentum for this condition number
+    momentum = (1 - root) / (1 + root)
     history = np.zeros((0, k))
     sums = first
     for _ in range(STEPS):
@@ -172,7 +176,7 @@ def fit_rates(table: DataFrame, target: np.ndarray) -> tuple[np.ndarray, float]:
             break
         history = np.vstack([history, sums[k : 2 * k] / tokens - target])
         sums = totals(history, step)
-    return history, step
+    return history, step, momentum
 
 
 def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -211,13 +215,13 @@ def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] = TARGE
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     scratch = Scratch(docs.sparkSession)
     small = scratch.keep(docs.select(text_col).mapInArrow(score, "n_tokens long, p array<double>"))
-    history, step = fit_rates(small, np.array([targets.get(d, 0.0) for d in DOMAINS]))
+    history, step, momentum = fit_rates(small, np.array([targets.get(d, 0.0) for d in DOMAINS]))
     scratch.drop(small)
 
     def rate(batches):
         for batch in batches:
             n, p = scored(batch.column(text_col))
-            r, _ = replay(p, history, step)
+            r, _ = replay(p, history, step, momentum)
             out = {name: batch.column(name) for name in names} | {"n_tokens": pa.array(n, pa.int64())}
             out |= {f"p_{d}": pa.array(p[:, x], pa.float64()) for x, d in enumerate(DOMAINS)}
             yield pa.record_batch(out | {"rate": pa.array(r, pa.float64()), "draw": batch.column("__draw")})

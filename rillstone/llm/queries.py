@@ -73,7 +73,8 @@ tw AS (SELECT id, label, len(words) AS size, unnest(words) AS word FROM t),
 line AS (SELECT row, k, string_split(coalesce(text, ''), chr(10))[k] AS line FROM d, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(k)),
 lw AS (SELECT DISTINCT row, k, unnest({_WORDS.format("line")}) AS word FROM line),
 hit AS (SELECT row, k, id, label, count(*) / size AS share, count(*) AS n, size FROM lw JOIN tw USING (word) GROUP BY row, k, id, label, size HAVING count(*) >= {THRESHOLD} * size),
-more AS (SELECT row, max(share) AS share, list_distinct(list(label)) AS labels FROM hit GROUP BY row)
+best AS (SELECT *, share = max(share) OVER (PARTITION BY row, k) AS top FROM hit),
+more AS (SELECT row, max(share) AS share, list_distinct(list(label) FILTER (top)) AS labels FROM best GROUP BY row)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(found.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,

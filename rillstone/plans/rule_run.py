@@ -20,7 +20,7 @@ from ..engine import engine_session
 from ..functions import values as V
 from ..store import Scratch
 from ..types import BOOL, BYTES, DATE, F64, I64, STRING, TIMESTAMP, Type, is_optional, row_schema, record, settle, spark_type, strip
-from .rule_check import Checked, Exprs, Plan, Step, assign, bindings, check, narrow, reads
+from .rule_check import Checked, Exprs, Plan, Step, assign, bindings, binds, check, narrow, reads
 from .rule_syntax import Agg, Assertion, Atom, Filter, Match, Unnest
 
 UNIT = "__unit"
@@ -28,10 +28,11 @@ UNIT = "__unit"
 
 @dataclass(frozen=True)
 class Relation:
-    """Rows of a relation; ``unique`` if none is repeated."""
+    """Rows of a relation; ``unique`` if none is repeated, ``key`` columns that tell rows apart."""
 
     df: DataFrame
     unique: bool = False
+    key: frozenset[str] | None = None
 
 
 def both(a: Column, b: Column, null_safe: bool) -> Column:
@@ -65,12 +66,31 @@ class Runner(Exprs):
         guards: list = []
         out = [(col, assign(self.infer(e, env, guards), types[col])) for col, e in p.rule.args]
         df = self.guarded(df, guards)
-        plain = {e.value for _, e in p.rule.args if e.kind == "name"}
+        plain = self.determined({e.value for _, e in p.rule.args if e.kind == "name"}, p, lookup)
         whole = plain >= set(p.group) if p.aggregates else unique and plain >= {v for v in p.bound if env[v].literal is None}
         if not out:
             return Relation(df.select(F.lit(True).alias(UNIT)).limit(1), True)
         return Relation(df.select(*[v.col.cast(spark_type(types[c])).alias(c) for c, v in out]), whole)
 
+    def determined(self, names: set[str], p: Plan, lookup) -> set[str]:
+        """The variables whose values follow from those of ``names``: by keys of atoms and by matches."""
+        follows: list[tuple[set[str], set[str]]] = []
+        for k, s in enumerate(p.steps):
+            st = s.statement
+            if isinstance(st, Atom) and not st.negated:
+                key = lookup(st, k).key
+                args = {c: e for c, e in st.args if e is not None}
+                if key is not None and key <= set(args):
+                    follows.append((set().union(*[reads(args[c]) for c in key]), {e.value for e in args.values() if e.kind == "name"}))
+            elif isinstance(st, Match):
+                given = {st.target.names[0]} if isinstance(st.target, Unnest) and len(st.target.names) == 2 else set()
+                if given or not isinstance(st.target, Unnest):
+                    follows.append((reads(st.value) | given, set(binds(st.target))))
+        out = set(names)
+        while more := [to for given, to in follows if given <= out and not to <= out]:
+            out = out.union(*more)
+        return out
+
     def ground(self, df: DataFrame | None) -> DataFrame:
         return self.spark.range(1).select(F.lit(True).alias(UNIT)) if df is None else df
 
@@ -143,7 +163,7 @@ class Runner(Exprs):
                 r = r.where(V.equal(here, v).col)
             else:
                 joins.append((v, at, t))
-        unique = rel.unique and len(named) == len(types)
+        unique = rel.unique and (len(named) == len(types) or rel.key is not None and rel.key <= {c for c, _ in named})
         if df is None and not st.negated and not joins:
             df = r.select(*[F.col(at).alias(n) for n, at in bound.items()]) if bound else r.select(F.lit(True).alias(UNIT)).limit(1)
             unique = unique or not bound
@@ -232,7 +252,7 @@ class Runner(Exprs):
         """All relations, stratum by stratum; inputs that aren't given are empty."""
         for name in self.checked.inputs:
             got = inputs.get(name)
-            self.relations[name] = Relation(self.empty(name), True) if got is None else Relation(self.rows(name, got.df), got.unique)
+            self.relations[name] = Relation(self.empty(name), True) if got is None else Relation(self.rows(name, got.df), got.unique, got.key)
         for comp in self.checked.strata:
             if set(comp) & self.checked.recursive:
                 self.iterate(comp)
@@ -297,16 +317,17 @@ def reversed_order(t: Type, c: Column) -> Column:
     return F.bitwise_not(whole)
 
 
-def evaluate(spark: SparkSession, source: str, tables: dict[str, DataFrame], *, unique: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def evaluate(spark: SparkSession, source: str, tables: dict[str, DataFrame], *, keys: dict[str, tuple[str, ...]] | None = None) -> dict[str, DataFrame]:
     """All relations of a program over input ``tables`` (by relation name), lazily.
 
-    ``unique`` names inputs without repeated rows, as tables that include their key
-    are; others are taken as sets all the same, at the cost of a distinct where
-    multiplicity could be seen.
+    ``keys`` names columns of inputs that tell their rows apart.  Other inputs are
+    taken as sets all the same, at the cost of a distinct where repeated rows could
+    be seen.
     """
     runner = Runner(engine_session(spark), check(source))
     own = runner.spark
-    given = {n: Relation(_adopt(own, df), n in unique) for n, df in tables.items()}
+    keys = keys or {}
+    given = {n: Relation(_adopt(own, df), n in keys, frozenset(keys[n]) if n in keys else None) for n, df in tables.items()}
     out = runner.run(given)
     return {n: r.df if r.unique else r.df.distinct() for n, r in out.items()}
 

@@ -38,8 +38,8 @@ TYPES = {
 }
 
 
-#: Relations that include their table's key, so that no row is repeated; order and line number don't identify a line.
-KEYED = frozenset(SOURCES) - {"line"}
+#: Keys of the tables; order and line number don't identify a line.
+KEYS = {n: ("id",) for n in SOURCES if n != "line"}
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,7 @@ def rules(program: str, tables: tuple[str, ...], spark: SparkSession, sf_dir: st
     """Run a program of the rule language; inputs are declared from ``TYPES``."""
     heads = "".join(f"{n} :: relation({TYPES[n]})\n{n}({', '.join(c + ':' for c in SOURCES[n][1])}) <- input\n" for n in tables)
     own = engine_session(spark)
-    return evaluate_rules(spark, heads + program, {n: source(own, sf_dir, n) for n in tables}, unique=tuple(t for t in tables if t in KEYED))[out]
+    return evaluate_rules(spark, heads + program, {n: source(own, sf_dir, n) for n in tables}, keys={t: KEYS[t] for t in tables if t in KEYS})[out]
 
 
 def streams(program: str, tables: tuple[str, ...], spark: SparkSession, sf_dir: str, out: str = "out") -> DataFrame:

@@ -7,16 +7,16 @@
    two texts share with probability equal to their weighted Jaccard similarity;
    the samples of a band are hashed to a key.  At similarity 0.8 a pair shares
    at least one of 14 bands of 3 with probability over 0.9999.
-3. Equal texts are one node.  The nodes that share a key aren't paired with each
-   other but with the least and the greatest of them; of the links so found,
-   each node first verifies one, then those that would still join components.
-   Nodes that aren't connected with their key's least one are dealt anew among
-   themselves, until no key has unconnected nodes left to compare.
-4. Links are verified by the exact weighted Jaccard similarity, and components
+3. Equal texts are one node.  Nodes that share a key are compared by all their
+   samples: those with fewer than ``LEAST_SHARED`` in common aren't similar (a pair
+   of similarity 0.8 falls below that with probability 3e-6), and of the others a
+   maximum spanning forest is proposed, never all pairs.
+4. Keys of more than ``GROUP`` nodes don't go to one task: each of their nodes is
+   proposed with the least and the greatest of them, and nodes that are connected
+   with neither are dealt anew, until no key has unconnected nodes left.
+5. Proposed links are verified by the exact weighted Jaccard similarity, each
+   node's best first, then those that would still join components.  Components
    of links are classes.
-
-Keys of thousands of nodes cost one row a node: minima are combined before they
-are shuffled, and the joins are plain sort-merge joins that Spark splits by skew.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .scratch import Scratch
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 14, 3
 DF_BITS, IDF_SCALE = 18, 1024
 TABLE_BITS, SEED = 15, 5
+#: Fewest shared samples of a proposed pair, and most nodes of a key that one task compares.
+LEAST_SHARED, GROUP = 22, 2000
 
 
 def word_buckets(words: K.Words) -> np.ndarray:
@@ -124,9 +126,8 @@ class Sampler:
             out[:, k] = K.mix(h[pick] + t[pick].astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         return out
 
-    def keys(self, h: np.ndarray, weight: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
-        """(rows with shingles, bands) keys; the same samples in another band give another key."""
-        s = self.samples(h, weight, first)
+    def keys(self, s: np.ndarray, bands: int, rows: int) -> np.ndarray:
+        """(texts, bands) keys of samples; the same samples in another band give another key."""
         out = np.zeros((len(s), bands), np.uint64)
         for b in range(bands):
             key = np.full(len(s), b + 1, np.uint64)
@@ -136,6 +137,57 @@ class Sampler:
         return out
 
 
+def forest(samples: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Edges (i, j, shared samples) of a maximum spanning forest over pairs that share ``least`` samples or more (Prim's algorithm)."""
+    n = len(samples)
+    best, came, out = np.full(n, -1), np.zeros(n, np.int64), []
+    todo = np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        todo[at] = False
+        shared = (samples == samples[at]).sum(axis=1)
+        closer = todo & (shared > best)
+        best[closer], came[closer] = shared[closer], at
+        at = int(np.where(todo, best, -2).argmax())
+        if best[at] >= least:
+            out.append((at, int(came[at]), int(best[at])))
+    return out
+
+
+def proposals(batches, least: int):
+    """Proposed links of a partition sorted by key: (a, b, shared) from the nodes of each key; holds one key's nodes at a time."""
+
+    def links(key, node, samples):
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(key))
+        two = starts[ends - starts == 2]
+        shared = (samples[two] == samples[two + 1]).sum(axis=1)
+        good = shared >= least
+        a, b, n = node[two[good]], node[two[good] + 1], shared[good]
+        more = [(node[i + x], node[i + y], c) for i, j in zip(starts, ends) if j - i > 2 for x, y, c in forest(samples[i:j], least)]
+        if more:
+            a, b, n = np.append(a, [x for x, *_ in more]), np.append(b, [x for _, x, _ in more]), np.append(n, [x for *_, x in more])
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        return pa.record_batch({"a": pa.array(high, pa.int64()), "b": pa.array(low, pa.int64()), "shared": pa.array(n.astype(np.int32), pa.int32())})
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = np.asarray(batch.column("key")), np.asarray(batch.column("node"))
+        samples = np.frombuffer(b"".join(batch.column("samples").to_pylist()), np.uint32).reshape(len(key), -1)
+        if held is not None:
+            key, node, samples = np.append(held[0], key), np.append(held[1], node), np.concatenate((held[2], samples))
+        cut = int(np.searchsorted(key, key[-1], side="left"))  # the last key may go on in the next batch
+        held = key[cut:], node[cut:], samples[cut:]
+        if cut:
+            yield links(key[:cut], node[:cut], samples[:cut])
+    if held is not None:
+        yield links(*held)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two weighted sets (hashes ascending)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -159,6 +211,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    least_shared = LEAST_SHARED * bands * rows // (BANDS * ROWS)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     part = docs.where("id IS NOT NULL AND text IS NOT NULL").withColumn("node", F.xxhash64("text"))
     kind = docs.schema["id"].dataType.simpleString()
@@ -169,16 +222,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             column = batch.column("text")
             keys: list = []
-            for i, j, w in K.word_blocks(column, K.SPACE):
+            drawn: list = []
+            for _, _, w in K.word_blocks(column, K.SPACE):
                 h, weight, first = shingles(w, idf.value, shingle)
-                some = iter(sampler.value.keys(h, weight, first, bands, rows).view(np.int64))
-                keys += [next(some) if n else None for n in np.diff(first)]
-            yield pa.record_batch({"id": batch.column("id"), "node": batch.column("node"), "keys": pa.array(keys, pa.list_(pa.int64()))})
-
-    signed = part.mapInArrow(sign, f"id {kind}, node long, keys array<bigint>")
-    nodes = scratch.keep(signed.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys")))
+                samples = sampler.value.samples(h, weight, first)
+                own = iter(zip(sampler.value.keys(samples, bands, rows).view(np.int64), samples.astype(np.uint32)))
+                for n in np.diff(first):
+                    k, x = next(own) if n else (None, None)
+                    keys.append(k)
+                    drawn.append(None if x is None else x.tobytes())
+            yield pa.record_batch({"id": batch.column("id"), "node": batch.column("node"), "keys": pa.array(keys, pa.list_(pa.int64())), "samples": pa.array(drawn, pa.binary())})
+
+    signed = part.mapInArrow(sign, f"id {kind}, node long, keys array<bigint>, samples binary")
+    nodes = scratch.keep(signed.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("samples").alias("samples")))
     held = scratch.keep(nodes.select("node", F.explode("keys").alias("key")))
-    shared = scratch.keep(held.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"))
+    of_key = [F.min("node").alias("low"), F.max("node").alias("high"), F.count("node").alias("n")]
+    shared = scratch.keep(held.groupBy("key").agg(*of_key).where("low <> high"))
     members = scratch.keep(held.join(shared, "key"))
     scratch.drop(held, shared)
 
@@ -216,24 +275,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, comp long")
     while not members.isEmpty():
-        ends = lambda end: members.where(F.col("node") != F.col(end)).select(F.col("node").alias("a"), F.col(end).alias("b"))
-        found = apart(ends("low").union(ends("high")).distinct(), labels)
-        pairs = scratch.keep(found)
-        first = scratch.keep(verify(pairs.groupBy("a").agg(F.min("b").alias("b"))))
+        few = members.where(F.col("n") <= GROUP).select("key", "node").join(nodes.select("node", "samples"), "node")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        near = few.repartition(parts, "key").sortWithinPartitions("key", "node").select("key", "node", "samples")
+        found = near.mapInArrow(lambda batches: proposals(batches, least_shared), "a long, b long, shared int")
+        large = members.where(F.col("n") > GROUP)
+        ends = lambda end: large.where(F.col("node") != F.col(end)).select(F.greatest("node", end).alias("a"), F.least("node", end).alias("b"), F.lit(0).alias("shared"))
+        found = found.union(ends("low")).union(ends("high")).groupBy("a", "b").agg(F.max("shared").alias("shared"))
+        pairs = scratch.keep(apart(found, labels))
+        best = scratch.keep(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
+        first = scratch.keep(verify(best))
         links = scratch.keep(links.union(first))
         labels = components(links, scratch)
-        rest = pairs.join(pairs.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_anti")
+        rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
         more = scratch.keep(verify(apart(rest, labels)))
         if not more.isEmpty():
             links = scratch.keep(links.union(more))
             labels = components(links, scratch)
-        left = apart(members.select(F.col("node").alias("a"), F.col("low").alias("b"), "key", "high"), labels)
-        # those not connected with the greatest either, or with neither: the two ends themselves have been compared
-        left = apart(left.select("a", F.col("high").alias("b"), "key"), labels).select(F.col("a").alias("node"), "key")
-        left = scratch.keep(left)
-        again = scratch.keep(left.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"))
+        left = apart(large.select(F.col("node").alias("a"), F.col("low").alias("b"), "key", "high"), labels)
+        left = scratch.keep(apart(left.select("a", F.col("high").alias("b"), "key"), labels).select(F.col("a").alias("node"), "key"))
+        again = scratch.keep(left.groupBy("key").agg(*of_key).where("low <> high"))
         members = scratch.keep(left.join(again, "key"))
-        scratch.drop(pairs, first, more, left, again)
+        scratch.drop(pairs, best, first, more, left, again)
 
     classes = nodes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = scratch.keep(classes)

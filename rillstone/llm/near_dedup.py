@@ -10,13 +10,15 @@
 3. Equal texts are one node.  Nodes that share a key are compared by all their
    samples: those with fewer than ``LEAST_SHARED`` in common aren't similar (a pair
    of similarity 0.8 falls below that with probability 3e-6), and of the others a
-   maximum spanning forest is proposed, never all pairs.
+   maximum spanning forest is proposed first.
 4. Keys of more than ``GROUP`` nodes don't go to one task: each of their nodes is
    proposed with the least and the greatest of them, and nodes that are connected
    with neither are dealt anew, until no key has unconnected nodes left.
 5. Proposed links are verified by the exact weighted Jaccard similarity, each
-   node's best first, then those that would still join components.  Components
-   of links are classes.
+   node's best first, then those that would still join components.
+6. In keys of up to ``GROUP`` nodes that still hold several components, all other
+   pairs with enough samples in common that would join two components are
+   verified.  Components of links are classes.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ DF_BITS, IDF_SCALE = 18, 1024
 TABLE_BITS, SEED = 15, 5
 #: Fewest shared samples of a proposed pair, and most nodes of a key that one task compares.
 LEAST_SHARED, GROUP = 22, 2000
+#: Most bytes of items (12 a shingle) in a block of a key's nodes.
+BLOCK_BYTES = 1 << 25
 
 
 def word_buckets(words: K.Words) -> np.ndarray:
@@ -196,6 +200,82 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / every if every else 0.0
 
 
+def runs(batches):
+    """The rows of each task of a partition sorted by (key, i, j), as a dictionary of arrays; holds one task's rows at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def task():
+        t = pa.Table.from_batches(held)
+        out = {x: np.asarray(t.column(x)) for x in ("key", "i", "j", "band", "node", "comp", "asks")}
+        out["samples"] = np.frombuffer(b"".join(t.column("samples").to_pylist()), np.uint32).reshape(t.num_rows, -1)
+        return out | ({"items": t.column("items").to_pylist()} if "items" in t.column_names else {})
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.stack([np.asarray(batch.column(x)).astype(np.int64) for x in ("key", "i", "j")])
+        starts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts[:-1], starts[1:]):
+            if held and last != tuple(ids[:, a]):
+                yield task()
+                held.clear()
+            held.append(batch.slice(a, b - a))
+            last = tuple(ids[:, a])
+    if held:
+        yield task()
+
+
+def candidates(task: dict, rows: int, least: int):
+    """(x, others) of each asking row: rows of other components that share ``least`` samples or more with it, most first.
+
+    Asking rows meet the rows that don't ask and, in tasks of block 0, each other.
+    A pair that shares several keys is met in that of the first band only.
+    ``task["comp"]`` may change between two rows.
+    """
+    samples, comp, band = task["samples"], task["comp"], task["band"][0]
+    asks = np.flatnonzero(task["asks"])
+    given = np.flatnonzero(~task["asks"])
+    for n, x in enumerate(asks):
+        others = np.append(given, asks[:n]) if task["i"][0] == 0 else given
+        others = others[comp[others] != comp[x]]
+        same = samples[others] == samples[x]
+        shared = same.sum(axis=1)
+        good = np.flatnonzero(shared >= least)
+        good = good[same[good].reshape(len(good), samples.shape[1] // rows, rows).all(axis=2).argmax(axis=1) == band]
+        if len(good):
+            yield x, others[good[np.argsort(-shared[good], kind="stable")]]
+
+
+def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(x, np.uint64, len(x) // 12), np.frombuffer(x, np.float32, len(x) // 12, len(x) // 12 * 8)
+
+
+def joining(task: dict, rows: int, least: int, threshold: float) -> list[tuple[int, int]]:
+    """Similar pairs of nodes of a task that join components, until no candidates are left that would."""
+    sets, comp, node = [unpack(x) for x in task["items"]], task["comp"].copy(), task["node"]
+    _, ids = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    ids = np.split(ids, np.cumsum([len(h) for h, _ in sets])[:-1])
+    total = np.array([w.sum(dtype=np.float64) for _, w in sets])
+    dense, out = np.zeros(1 + max(int(x.max()) for x in ids), np.float32), []
+    for x, todo in candidates(task | {"comp": comp}, rows, least):
+        dense[ids[x]] = sets[x][1]
+        size = 16
+        while len(todo):
+            part, todo = todo[:size], todo[size:]
+            least_weights = np.minimum(dense[np.concatenate([ids[y] for y in part])], np.concatenate([sets[y][1] for y in part]))
+            both = np.add.reduceat(least_weights.astype(np.float64), np.append(0, np.cumsum([len(ids[y]) for y in part])[:-1]))
+            like = both / (total[x] + total[part] - both)
+            for y in part[like >= threshold - 1e-9]:
+                if comp[x] != comp[y] and similarity(sets[x], sets[y]) >= threshold:
+                    out.append((max(node[x], node[y]), min(node[x], node[y])))
+                    comp[comp == comp[y]] = comp[x]
+            todo = todo[comp[todo] != comp[x]]
+            size *= 4
+        dense[ids[x]] = 0
+    return out
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: id_col, node (hash of the text) and class_id, the least id of its class.
 
@@ -235,7 +315,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     signed = part.mapInArrow(sign, f"id {kind}, node long, keys array<bigint>, samples binary")
     nodes = scratch.keep(signed.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("samples").alias("samples")))
-    held = scratch.keep(nodes.select("node", F.explode("keys").alias("key")))
+    held = scratch.keep(nodes.select("node", F.posexplode("keys").alias("band", "key")))
     of_key = [F.min("node").alias("low"), F.max("node").alias("high"), F.count("node").alias("n")]
     shared = scratch.keep(held.groupBy("key").agg(*of_key).where("low <> high"))
     members = scratch.keep(held.join(shared, "key"))
@@ -250,7 +330,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch({"node": batch.column("node"), "items": pa.array(blobs, pa.binary())})
 
     def compare(batches):
-        unpack = lambda x: (np.frombuffer(x, np.uint64, len(x) // 12), np.frombuffer(x, np.float32, len(x) // 12, len(x) // 12 * 8))
         for batch in batches:
             like = [similarity(unpack(x.as_py()), unpack(y.as_py())) for x, y in zip(batch.column("items_a"), batch.column("items_b"))]
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "like": pa.array(like, pa.float64())})
@@ -272,11 +351,59 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
         return joined.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).drop("comp_a", "comp_b")
 
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    task = ["key", "i", "j"]
+
+    def dealt(rows_of: DataFrame):
+        return rows_of.repartition(parts, *task).sortWithinPartitions(*task, "node")
+
+    def remaining(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links (a, b) between the components of each key, from all of its pairs that share enough samples.
+
+        The nodes of a key's most frequent component are dealt to blocks 0 to p - 1,
+        the others to blocks p to p + q - 1, each of about ``GROUP`` nodes and
+        ``BLOCK_BYTES`` of items at most.  Task (i, j), i < j, p <= j, compares block j
+        with block i, and block j with itself if i is 0: all pairs but those within
+        one component.
+        """
+        size = items.select("node", F.length("items").cast("long").alias("size"))
+        of = members.where(f"n BETWEEN 3 AND {GROUP}").select("key", "band", "node").join(labels, "node", "left").join(size, "node")
+        of = scratch.keep(of.withColumn("comp", F.coalesce("comp", "node")))
+        by_comp = of.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+        totals = [F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "comp")).alias("main"), F.count("*").alias("comps")]
+        blocks = lambda n, size: F.ceil(F.greatest((n) / F.lit(GROUP), (size) / F.lit(BLOCK_BYTES))).cast("int")
+        keys = by_comp.groupBy("key").agg(*totals).where("comps > 1")
+        keys = keys.select("key", F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.size")).alias("p"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("q"))
+        in_block = of.join(scratch.keep(keys), "key").withColumn("at", F.xxhash64("node", F.lit(SEED)))
+        in_block = in_block.withColumn("b", F.expr("int(if(comp = main, pmod(at, p), p + pmod(at, q)))"))
+        asking = "if(b >= p, transform(sequence(0, b - 1), x -> struct(x AS i, b AS j, true AS asks)), array())"
+        given = "if(greatest(b + 1, p) < p + q, transform(sequence(greatest(b + 1, p), p + q - 1), x -> struct(b AS i, x AS j, false AS asks)), array())"
+        rows_of = in_block.select("key", "band", "node", "comp", F.explode(F.expr(f"concat({asking}, {given})")).alias("t")).select("key", "band", "node", "comp", "t.*")
+
+        def unsettled(batches):
+            for t in runs(batches):
+                some = np.zeros(len(t["node"]), bool)
+                for x, others in candidates(t, rows, least_shared):
+                    some[x] = some[others] = True
+                if some.any():
+                    yield pa.record_batch({x: pa.array(t[x][some]) for x in ("key", "i", "j", "band", "node", "comp", "asks")})
+
+        def link(batches):
+            for t in runs(batches):
+                got = joining(t, rows, least_shared, threshold)
+                yield pa.record_batch({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
+
+        drawn = nodes.select("node", "samples")
+        some = scratch.keep(dealt(rows_of.join(drawn, "node")).select(*task, "band", "node", "comp", "asks", "samples").mapInArrow(unsettled, "key long, i int, j int, band int, node long, comp long, asks boolean"))
+        out = scratch.keep(dealt(some.join(drawn, "node").join(items, "node")).mapInArrow(link, "a long, b long").distinct())
+        scratch.drop(of, some)
+        return out
+
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, comp long")
+    every = members
     while not members.isEmpty():
         few = members.where(F.col("n") <= GROUP).select("key", "node").join(nodes.select("node", "samples"), "node")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         near = few.repartition(parts, "key").sortWithinPartitions("key", "node").select("key", "node", "samples")
         found = near.mapInArrow(lambda batches: proposals(batches, least_shared), "a long, b long, shared int")
         large = members.where(F.col("n") > GROUP)
@@ -297,6 +424,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         again = scratch.keep(left.groupBy("key").agg(*of_key).where("low <> high"))
         members = scratch.keep(left.join(again, "key"))
         scratch.drop(pairs, best, first, more, left, again)
+    new = scratch.keep(remaining(every, labels))
+    if not new.isEmpty():
+        links = scratch.keep(links.union(new))
+        labels = components(links, scratch)
 
     classes = nodes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = scratch.keep(classes)

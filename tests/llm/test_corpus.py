@@ -254,6 +254,43 @@ def test_near_dedup(spark, group, monkeypatch):
     assert kept.columns == df.columns and sorted(i for i in ids if i is not None) == sorted(set(cls[i] for i, _ in rows)) and ids.count(None) == 1
 
 
+def edited_copies(n, edits, seed):
+    """Copies of one text, each with some words changed of the text or of an earlier copy."""
+    rng = random.Random(seed)
+    copies = [prose(rng, 200).split()]
+    for k in range(n):
+        w = list(copies[rng.randrange(len(copies)) if rng.random() < 0.3 else 0])
+        for _ in range(rng.randint(*edits)):
+            w[rng.randrange(len(w))] = f"edit{rng.randint(0, 999)}"
+        copies.append(w)
+    return [(i, " ".join(w)) for i, w in enumerate(copies[1:])]
+
+
+def brute_classes(df, rows):
+    """By id, the least id of its class, from all pairs; and the similarities."""
+    idf, sets = near_dedup.inverse_frequencies(df, "text"), []
+    for _, _, w in kernels.word_blocks(pa.array([t for _, t in rows]), kernels.SPACE):
+        h, weight, first = near_dedup.shingles(w, idf)
+        sets += [(h[a:b], weight[a:b]) for a, b in zip(first[:-1], first[1:])]
+    cls, like = list(range(len(rows))), []
+    for i in range(len(rows)):
+        for j in range(i):
+            like.append(near_dedup.similarity(sets[i], sets[j]))
+            if like[-1] >= 0.8 and cls[i] != cls[j]:
+                low, high = sorted((cls[i], cls[j]))
+                cls = [low if c == high else c for c in cls]
+    return dict(enumerate(cls)), like
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_links_are_sought_beyond_the_first_forest(spark, seed):
+    rows = edited_copies(120, (1, 5), seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, like = brute_classes(df, rows)
+    assert np.mean([0.7 <= x < 0.8 for x in like]) > 0.1 and 1 < len(set(want.values())) < 100
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == want
+
+
 def test_samples_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 3000).astype(np.uint64)

@@ -10,15 +10,14 @@
 3. Equal texts are one node.  Nodes that share a key are compared by all their
    samples: those with fewer than ``LEAST_SHARED`` in common aren't similar (a pair
    of similarity 0.8 falls below that with probability 3e-6), and of the others a
-   maximum spanning forest is proposed first.
-4. Keys of more than ``GROUP`` nodes don't go to one task: each of their nodes is
-   proposed with the least and the greatest of them, and nodes that are connected
-   with neither are dealt anew, until no key has unconnected nodes left.
-5. Proposed links are verified by the exact weighted Jaccard similarity, each
+   maximum spanning forest is proposed first.  Keys of more than ``GROUP`` nodes
+   are dealt to blocks for that, and their nodes are proposed with the least.
+4. Proposed links are verified by the exact weighted Jaccard similarity, each
    node's best first, then those that would still join components.
-6. In keys of up to ``GROUP`` nodes that still hold several components, all other
-   pairs with enough samples in common that would join two components are
-   verified.  Components of links are classes.
+5. In keys that still hold several components, all other pairs with enough
+   samples in common that would join two components are verified, in tasks of
+   pairs of blocks, so that no link of a key is lost.  Components of links are
+   classes.
 """
 
 from __future__ import annotations
@@ -367,7 +366,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         one component.
         """
         size = items.select("node", F.length("items").cast("long").alias("size"))
-        of = members.where(f"n BETWEEN 3 AND {GROUP}").select("key", "band", "node").join(labels, "node", "left").join(size, "node")
+        of = members.where("n > 2").select("key", "band", "node").join(labels, "node", "left").join(size, "node")
         of = scratch.keep(of.withColumn("comp", F.coalesce("comp", "node")))
         by_comp = of.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
         totals = [F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "comp")).alias("main"), F.count("*").alias("comps")]
@@ -401,33 +400,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, comp long")
-    every = members
-    while not members.isEmpty():
-        few = members.where(F.col("n") <= GROUP).select("key", "node").join(nodes.select("node", "samples"), "node")
-        near = few.repartition(parts, "key").sortWithinPartitions("key", "node").select("key", "node", "samples")
-        found = near.mapInArrow(lambda batches: proposals(batches, least_shared), "a long, b long, shared int")
-        large = members.where(F.col("n") > GROUP)
-        ends = lambda end: large.where(F.col("node") != F.col(end)).select(F.greatest("node", end).alias("a"), F.least("node", end).alias("b"), F.lit(0).alias("shared"))
-        found = found.union(ends("low")).union(ends("high")).groupBy("a", "b").agg(F.max("shared").alias("shared"))
-        pairs = scratch.keep(apart(found, labels))
+    if not members.isEmpty():
+        # a key of more nodes is dealt to blocks for its first forests, and each of its nodes is proposed with the least of them
+        block = F.expr(f"if(n > {GROUP}, xxhash64(key, pmod(xxhash64(node, {SEED}), ceil(n / {GROUP}))), key)")
+        near = members.select(block.alias("key"), "node").join(nodes.select("node", "samples"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+        found = near.select("key", "node", "samples").mapInArrow(lambda batches: proposals(batches, least_shared), "a long, b long, shared int")
+        star = members.where((F.col("n") > GROUP) & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b"), F.lit(0).alias("shared"))
+        found = found.union(star).groupBy("a", "b").agg(F.max("shared").alias("shared"))
+        pairs = scratch.keep(found)
         best = scratch.keep(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
-        first = scratch.keep(verify(best))
-        links = scratch.keep(links.union(first))
+        links = scratch.keep(verify(best))
         labels = components(links, scratch)
         rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-        more = scratch.keep(verify(apart(rest, labels)))
-        if not more.isEmpty():
-            links = scratch.keep(links.union(more))
-            labels = components(links, scratch)
-        left = apart(large.select(F.col("node").alias("a"), F.col("low").alias("b"), "key", "high"), labels)
-        left = scratch.keep(apart(left.select("a", F.col("high").alias("b"), "key"), labels).select(F.col("a").alias("node"), "key"))
-        again = scratch.keep(left.groupBy("key").agg(*of_key).where("low <> high"))
-        members = scratch.keep(left.join(again, "key"))
-        scratch.drop(pairs, best, first, more, left, again)
-    new = scratch.keep(remaining(every, labels))
-    if not new.isEmpty():
-        links = scratch.keep(links.union(new))
-        labels = components(links, scratch)
+        for more in (lambda: verify(apart(rest, labels)), lambda: remaining(members, labels)):
+            new = scratch.keep(more())
+            if not new.isEmpty():
+                links = scratch.keep(links.union(new))
+                labels = components(links, scratch)
+        scratch.drop(pairs, best)
 
     classes = nodes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = scratch.keep(classes)

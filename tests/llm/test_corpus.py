@@ -291,6 +291,15 @@ def test_links_are_sought_beyond_the_first_forest(spark, seed):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == want
 
 
+@pytest.mark.parametrize("seed", [1])
+def test_large_keys_lose_no_links(spark, seed, monkeypatch):
+    monkeypatch.setattr(near_dedup, "GROUP", 20)
+    rows = edited_copies(150, (1, 6), seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, _ = brute_classes(df, rows)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == want
+
+
 def test_samples_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 3000).astype(np.uint64)

@@ -19,20 +19,21 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import kernels as K
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: How far a byte piece's score lies below the least score of the vocabulary.
 UNKNOWN_PENALTY = 10.0
-#: Bound of each generation of a worker's known words (about 300 bytes each).
-CACHE_WORDS = 400_000
+#: Bounds of a worker's known words (about 150 bytes each besides their own and their ids').
+CACHE_WORDS, CACHE_BYTES = 200_000, 1 << 24
 NBEST = 4
 
 
@@ -45,7 +46,8 @@ class Vocabulary:
     spelled: list[bytes]
     unknown: float
     longest: dict[str, int]
-    cut: re.Pattern | None
+    cut: bool  # whether texts are cut in front of spaces, and
+    lines: bool  # around line feeds
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -71,25 +73,18 @@ class Vocabulary:
         usual = [s for _, s in pieces.values() if s > -1e8]
         whole = any(" " in p.lstrip(" ") for p in pieces)
         newline = not any("\n" in p for p in pieces)
-        pattern = None if whole else re.compile(r"\n| *[^ \n]+| +" if newline else r" *[^ ]+| +")
         longest: dict[str, int] = {}
         for text in pieces:
             for head in (text[:2], text[:3]):
                 if len(text) >= 2:
                     longest[head] = max(longest.get(head, 0), len(text))
-        return cls(pieces, bytes_of, spelled, min(usual) - UNKNOWN_PENALTY, longest, pattern)
+        return cls(pieces, bytes_of, spelled, min(usual) - UNKNOWN_PENALTY, longest, not whole, newline)
 
     def bytes_for(self, char: str) -> tuple[tuple[int, ...], float]:
         """The byte pieces of a character that no piece has (ids backwards, score)."""
         raw = char.encode("utf-8", "surrogatepass")
         return tuple(self.bytes_of[b] for b in reversed(raw)), self.unknown * len(raw)
 
-    def words(self, text: str) -> list[str]:
-        """The parts whose lattices make up the text's; the first begins with the added space."""
-        if not text:
-            return []
-        return self.cut.findall(" " + text) if self.cut else [" " + text]
-
     def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """By end position: (start, ids backwards, score) of each edge."""
         n, get, reach = len(word), self.pieces.get, self.longest.get
@@ -137,7 +132,11 @@ class Vocabulary:
         return top[n], path, loss
 
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations: (score, ids), best first; equal scores by ids from the end."""
+        """The n best segmentations: (score, ids), best first; of equal scores, the one whose search gets nearest the start first.
+
+        A path is a pointer to the path that it goes on from, so that a word costs
+        memory in proportion to its edges and not to its square.
+        """
         edges = self.edges(word)
         best = [0.0]
         for into in edges[1:]:
@@ -146,20 +145,25 @@ class Vocabulary:
                 if best[i] + s > top:
                     top = best[i] + s
             best.append(top)
-        # (less the best score through it, ids of the suffix backwards, position, score of the suffix)
-        heap = [(-best[-1], (), len(word), 0.0)]
+        # (less the best score through it, position, order of insertion, score of the suffix, (ids backwards, path behind it))
+        heap = [(-best[-1], len(word), 0, 0.0, None)]
         found: list[tuple[float, tuple[int, ...]]] = []
-        push, pop = heapq.heappush, heapq.heappop
+        push, pop, count = heapq.heappush, heapq.heappop, 0
         while heap:
-            cost, tail, at, done = pop(heap)
+            cost, at, _, done, path = pop(heap)
             if not at:
-                found.append((-cost, tail[::-1]))
+                ids: list[int] = []
+                while path:
+                    ids += path[0][::-1]
+                    path = path[1]
+                found.append((-cost, tuple(ids)))
                 if len(found) == n:
                     break
                 continue
-            for i, ids, s in edges[at]:
+            for i, ids_of, s in edges[at]:
                 s += done
-                push(heap, (-(best[i] + s), tail + ids, i, s))
+                count += 1
+                push(heap, (-(best[i] + s), i, count, s, (ids_of, path)))
         return found
 
     def decode(self, ids) -> str:
@@ -172,66 +176,131 @@ def packed(ids) -> bytes:
     return struct.pack(f"<{len(ids)}i", *ids)
 
 
-@dataclass
 class Encoder:
-    """Segments texts, with two bounded generations of known words: packed best ids, score, and the second best's loss.
+    """Segments blocks of texts: each distinct word once, then by gathering from the table of known words.
 
-    A full generation becomes the old one; words that are met again move to the young one.
+    The table (best ids, score, what the second best loses, whether the ids decode
+    to the word) is emptied between blocks when it exceeds ``CACHE_WORDS`` words or
+    ``CACHE_BYTES`` of words and ids.
     """
 
-    vocabulary: Vocabulary
-    n: int
-    young: dict[str, tuple[bytes, float, float]] = field(default_factory=dict)
-    old: dict[str, tuple[bytes, float, float]] = field(default_factory=dict)
-    ways: dict[str, list[tuple[float, bytes]]] = field(default_factory=dict)
-
-    def _learn(self, word: str) -> tuple[bytes, float, float]:
-        known = self.old.get(word)
-        if known is None:
-            score, path, loss = self.vocabulary.best_and_loss(word)
-            known = (packed([i for ids in path for i in ids][::-1]), score, loss)
-        self.young[word] = known
-        return known
-
-    def _ways(self, word: str) -> list[tuple[float, bytes]]:
+    def __init__(self, vocabulary: Vocabulary, n: int):
+        self.vocabulary, self.n = vocabulary, n
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ways: dict[bytes, list[tuple[float, int, bytes]]] = {}
+        self.held = self.ways_held = 0
+        self.score, self.loss, self.ok = np.zeros(1024), np.zeros(1024), np.zeros(1024, bool)
+        self.start, self.ids = np.zeros(1025, np.int64), np.zeros(8192, np.int32)
+
+    def _learn(self, word: bytes) -> int:
+        v, k = self.vocabulary, len(self.known)
+        score, path, loss = v.best_and_loss(word.decode())
+        ids = [i for part in path for i in part][::-1]
+        if k == len(self.score):
+            self.score, self.loss, self.ok = (np.concatenate((x, np.zeros_like(x))) for x in (self.score, self.loss, self.ok))
+            self.start = np.concatenate((self.start, np.zeros(k, np.int64)))
+        a = int(self.start[k])
+        b = a + len(ids)
+        if b > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), b - len(self.ids)), np.int32)))
+        self.ids[a:b], self.start[k + 1] = ids, b
+        self.score[k], self.loss[k], self.ok[k] = score, loss, b"".join(map(v.spelled.__getitem__, ids)) == word
+        self.known[word] = k
+        self.held += len(word) + 4 * len(ids)
+        return k
+
+    def _ways(self, word: bytes) -> list[tuple[float, int, bytes]]:
+        """The n best segmentations of a word: (score, ids, packed ids)."""
         found = self.ways.get(word)
         if found is None:
-            if len(self.ways) >= CACHE_WORDS // 16:
-                self.ways.clear()
-            found = self.ways[word] = [(s, packed(ids)) for s, ids in self.vocabulary.nbest(word, self.n)]
+            if self.ways_held > CACHE_BYTES // 4:
+                self.ways, self.ways_held = {}, 0
+            found = self.ways[word] = [(s, len(ids), packed(ids)) for s, ids in self.vocabulary.nbest(word.decode(), self.n)]
+            self.ways_held += 200 + len(word) + sum(len(x) for _, _, x in found)
         return found
 
-    def __call__(self, text: str) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a text: (score, packed ids), best first."""
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        words = self.vocabulary.words(text)
-        if not words:
-            return [(0.0, b"")]
-        get = self.young.get
-        parts, scores, losses = zip(*[get(w) or self._learn(w) for w in words])
-        out = [(float(sum(scores)), b"".join(parts))]
-        if self.n == 1:
-            return out
-        lost_by = np.array(losses)
-        if len(words) >= self.n:
+    def words(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of a block of texts, each behind its added space, and the first word of each text (one more than texts)."""
+        buf, offs, _ = K.utf8(column)
+        sizes = np.diff(offs)
+        sizes += sizes > 0  # the added space
+        at = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=at[1:])
+        own = np.ones(at[-1], bool)
+        first = at[:-1][sizes > 0]
+        own[first] = False
+        c = np.full(at[-1], 0x20, np.uint8)
+        c[own] = buf
+        start = ~own
+        if self.vocabulary.cut:
+            space = c == 0x20
+            line = c == 0x0A if self.vocabulary.lines else np.zeros(len(c), bool)
+            start |= line
+            start[1:] |= space[1:] & ~space[:-1]
+            start[1:] |= line[:-1]
+        begins = np.flatnonzero(start)
+        ends = np.append(begins, len(c)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(c)]), np.searchsorted(begins, at)
+
+    def block(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, int, str]]], np.ndarray]:
+        """(ids, first id of each text and the end, by text the n best as (score, ids, sha256), whether each text decodes to itself)."""
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self._clear()
+        words, first = self.words(column)
+        coded = words.dictionary_encode()
+        get = self.known.get
+        table = np.zeros(len(coded.dictionary), np.int64)
+        for k, w in enumerate(coded.dictionary.to_pylist()):
+            i = get(w)
+            table[k] = self._learn(w) if i is None else i
+        at = table[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
+        starts = self.start[at]
+        sizes = self.start[at + 1] - starts
+        ends = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        flat = self.ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        raw = memoryview(flat.astype("<i4").tobytes())
+        loss, score, ok = self.loss[at], self.score[at], self.ok[at]
+        out, good = [], np.ones(len(first) - 1, bool)
+        for text, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            total = float(score[a:b].sum())
+            x, y = int(ends[a]), int(ends[b])
+            out.append([(total, y - x, hashlib.sha256(raw[4 * x : 4 * y]).hexdigest())])
+            if a < b:
+                good[text] = ok[a:b].all()
+                if self.n > 1:
+                    out[-1] += self._others(total, words, loss, ends, raw, a, b)
+        return flat, ends[first], out, good
+
+    def _others(self, total: float, words: pa.Array, loss: np.ndarray, ends: np.ndarray, raw: memoryview, a: int, b: int) -> list[tuple[float, int, str]]:
+        """The second to n-th best of a text (words a to b), by best-first search over the words that lose least."""
+        own, n = loss[a:b], self.n
+        if b - a > n - 1:
             # only n - 1 words can differ: those that lose least, earlier ones first among equals
-            cut = np.partition(lost_by, self.n - 2)[self.n - 2]
-            near = np.flatnonzero(lost_by <= cut)
-            near = near[np.argsort(lost_by[near], kind="stable")][: self.n - 1].tolist()
+            near = np.flatnonzero(own <= np.partition(own, n - 2)[n - 2])
+            near = near[np.argsort(own[near], kind="stable")][: n - 1].tolist()
         else:
-            near = range(len(words))
-        near = [j for j in near if losses[j] < 1e290]
-        ways = [self._ways(words[j]) for j in near]
+            near = list(range(b - a))
+        near = sorted(a + j for j in near if own[j] < 1e290)
+        ways = [self._ways(words[j].as_py()) for j in near]
         start = (0,) * len(near)
         heap, seen = [(0.0, start)], {start}
-        while heap and len(out) < self.n:
+        out: list[tuple[float, int, str]] = []
+        while heap and len(out) < n - 1:
             lost, state = heapq.heappop(heap)
             if any(state):
-                changed = list(parts)
+                digest, at, size = hashlib.sha256(), int(ends[a]), int(ends[b] - ends[a])
                 for j, w, r in zip(near, ways, state):
-                    changed[j] = w[r][1]
-                out.append((out[0][0] - lost, b"".join(changed)))
+                    if r:
+                        digest.update(raw[4 * at : 4 * int(ends[j])])
+                        digest.update(w[r][2])
+                        at = int(ends[j + 1])
+                        size += w[r][1] - w[0][1]
+                digest.update(raw[4 * at : 4 * int(ends[b])])
+                out.append((total - lost, size, digest.hexdigest()))
             for x, w in enumerate(ways):
                 r = state[x] + 1
                 if r < len(w) and (new := (*state[:x], r, *state[x + 1 :])) not in seen:
@@ -265,8 +334,10 @@ def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, nbest
     (decoding the ids gives the text).
 
     Null and empty texts have no pieces and one segmentation, the empty one, with
-    score 0.  Equal scores are ordered by ids within a word, then by the word's
-    place; repeated rows get equal results; an empty table gives an empty one.
+    score 0.  Of equal scores within a word, the one whose search gets nearest the
+    word's start first comes first, then the earlier word's; repeated rows get
+    equal results; an empty table gives an empty one.  Unspaced texts of any length
+    are one word, whose lattice needs about a kilobyte a character.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     docs = docs.drop("ids", "n_tokens", "score", "ids_sha256", "nbest", "round_trip")
@@ -274,28 +345,22 @@ def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, nbest
 
     def run(batches):
         encoder = worker_encoder(vocabulary.value, model, nbest)
+        kinds = {"score": pa.float64(), "n_tokens": pa.int64(), "ids_sha256": pa.string()}
         for batch in batches:
-            for s in range(0, max(1, batch.num_rows), 256):
-                part = batch.slice(s, 256)
-                ids, ways, same = [], [], []
-                for text in part.column(text_col).to_pylist():
-                    got = encoder(text or "")
-                    ids.append(got[0][1])
-                    ways += [(x, len(y) // 4, hashlib.sha256(y).hexdigest()) for x, y in got]
-                    same.append(len(got))
-                flat = np.frombuffer(b"".join(ids), np.dtype("<i4"))
-                offsets, rows = np.zeros(len(ids) + 1, np.int32), np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-                np.cumsum(same, out=rows[1:])
-                texts = [encoder.vocabulary.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                struct_of = pa.StructArray.from_arrays([pa.array([w[k] for w in ways], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.string()))], ["score", "n_tokens", "ids_sha256"])
+            column = batch.column(text_col)
+            for i, j in K.doc_blocks(K.utf8(column)[1]):
+                part = batch.slice(i, j - i)
+                flat, ends, ways, good = encoder.block(part.column(text_col))
+                rows = np.zeros(len(ways) + 1, np.int32)
+                np.cumsum([len(w) for w in ways], out=rows[1:])
+                of = pa.StructArray.from_arrays([pa.array([x[k] for w in ways for x in w], kind) for k, kind in enumerate(kinds.values())], list(kinds))
                 first = pa.array(rows[:-1])
-                yield pa.record_batch({name: part.column(name) for name in part.schema.names} | {
-                    "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))), "n_tokens": struct_of.field("n_tokens").take(first),
-                    "score": struct_of.field("score").take(first), "ids_sha256": struct_of.field("ids_sha256").take(first),
-                    "nbest": pa.ListArray.from_arrays(pa.array(rows), struct_of),
-                    "round_trip": pa.array([a == (b or "") for a, b in zip(texts, part.column(text_col).to_pylist())], pa.bool_()),
-                })
+                yield pa.record_batch(
+                    {name: part.column(name) for name in part.schema.names}
+                    | {"ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), "n_tokens": of.field("n_tokens").take(first)}
+                    | {"score": of.field("score").take(first), "ids_sha256": of.field("ids_sha256").take(first)}
+                    | {"nbest": pa.ListArray.from_arrays(pa.array(rows), of), "round_trip": pa.array(good)}
+                )
 
     return docs.mapInArrow(run, schema)
 

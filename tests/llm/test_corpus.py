@@ -466,10 +466,40 @@ def all_ways(v, word):
 @pytest.mark.parametrize("text", ["the thing", "an of\nit", "é▁x 日", "a  b ", "x"])
 def test_nbest_by_enumeration(vocabulary, text):
     want = all_ways(vocabulary, " " + text)
-    got = pieces.Encoder(vocabulary, 6)(text)
-    assert [round(s, 6) for s, _ in got] == [round(s, 6) for s, _ in want[:6]]
-    known = {(round(s, 6), pieces.packed(ids)) for s, ids in want}
-    assert all((round(s, 6), ids) in known for s, ids in got) and len({ids for _, ids in got}) == len(got)
+    encoder = pieces.Encoder(vocabulary, 6)
+    ids, ends, ways, good = encoder.block(pa.array(["", text, None, text]))
+    assert ways[1] == ways[3] and ways[0] == ways[2] == [(0.0, 0, hashlib.sha256().hexdigest())] and good.all()
+    assert vocabulary.decode(ids[ends[1] : ends[2]].tolist()) == text
+    got = ways[1]
+    assert [round(s, 6) for s, _, _ in got] == [round(s, 6) for s, _ in want[:6]]
+    known = {(round(s, 6), len(ids), hashlib.sha256(pieces.packed(ids)).hexdigest()) for s, ids in want}
+    assert set((round(s, 6), n, x) for s, n, x in got) <= known and len({x for _, _, x in got}) == len(got)
+
+
+def test_words_are_cut_as_stated(vocabulary):
+    texts = ["a b", "  a  \n\n b\nc ", "\n", " ", "\u2581é x", "", "ab\n", "x\n y"]
+    words, first = pieces.Encoder(vocabulary, 1).words(pa.array(texts))
+    assert vocabulary.cut and vocabulary.lines
+    for k, text in enumerate(texts):
+        want = re.findall(r"\n| *[^ \n]+| +", " " + text) if text else []
+        assert [w.decode() for w in words.to_pylist()[first[k] : first[k + 1]]] == want
+
+
+def test_long_unspaced_texts(vocabulary):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(100_000)), "a" * 30_000, "日本" * 5000]
+    encoder = pieces.Encoder(vocabulary, 3)
+    ids, ends, ways, good = encoder.block(pa.array(texts))
+    assert good.all() and [len(w) for w in ways] == [3, 3, 1] and all(w[0][0] >= w[1][0] >= w[2][0] and len({x for _, _, x in w}) == 3 for w in ways[:2])
+    assert [vocabulary.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])] == texts
+
+
+def test_known_words_are_bounded(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 3)
+    small, large = pieces.Encoder(vocabulary, 2), pieces.Encoder(vocabulary, 2)
+    texts = [f"some words {k} and {k * k}" for k in range(50)]
+    want = large.block(pa.array(texts))[2]
+    assert [small.block(pa.array([t]))[2][0] for t in texts] == want and len(small.known) < 12
 
 
 def test_round_trip(spark):

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
+from .lattice import Lattice
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -34,6 +35,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bounds of a worker's known words (about 150 bytes each besides their own and their ids').
 CACHE_WORDS, CACHE_BYTES = 200_000, 1 << 24
+#: Words of at most so many bytes are segmented together.
+SHORT = 64
 NBEST = 4
 
 
@@ -48,6 +51,7 @@ class Vocabulary:
     longest: dict[str, int]
     cut: bool  # whether texts are cut in front of spaces, and
     lines: bool  # around line feeds
+    lattice: Lattice | None
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -78,7 +82,10 @@ class Vocabulary:
             for head in (text[:2], text[:3]):
                 if len(text) >= 2:
                     longest[head] = max(longest.get(head, 0), len(text))
-        return cls(pieces, bytes_of, spelled, min(usual) - UNKNOWN_PENALTY, longest, not whole, newline)
+        unknown = min(usual) - UNKNOWN_PENALTY
+        # a zero byte ends words in the lattice; no known model has a piece with one
+        lattice = None if any("\0" in p for p in pieces) else Lattice({p: (i, s) for p, ((i,), s) in pieces.items()}, bytes_of, unknown)
+        return cls(pieces, bytes_of, spelled, unknown, longest, not whole, newline, lattice)
 
     def bytes_for(self, char: str) -> tuple[tuple[int, ...], float]:
         """The byte pieces of a character that no piece has (ids backwards, score)."""
@@ -166,6 +173,21 @@ class Vocabulary:
                 push(heap, (-(best[i] + s), i, count, s, (ids_of, path)))
         return found
 
+    def decodes_to(self, ids: np.ndarray, count: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """Whether the ids of each word (``count`` of them) spell its bytes."""
+        sizes = np.array([len(x) for x in self.spelled], np.int64)
+        at = np.append(0, np.cumsum(sizes))
+        own = sizes[ids]
+        ends = np.append(0, np.cumsum(own))
+        place = np.append(0, np.cumsum(count))
+        got = np.diff(ends[place])
+        same = got == [len(w) for w in words]
+        text = np.frombuffer(b"".join(self.spelled), np.uint8)[np.repeat(at[ids] - ends[:-1], own) + np.arange(ends[-1])]
+        use = np.repeat(same, got)
+        wrong = text[use] != np.frombuffer(b"".join(w for w, s in zip(words, same) if s), np.uint8)
+        same[np.repeat(np.arange(len(words)), got)[use][wrong]] = False
+        return same
+
     def decode(self, ids) -> str:
         """The text of a sequence of ids, without the added space."""
         raw = b"".join(map(self.spelled.__getitem__, ids))
@@ -195,22 +217,33 @@ class Encoder:
         self.score, self.loss, self.ok = np.zeros(1024), np.zeros(1024), np.zeros(1024, bool)
         self.start, self.ids = np.zeros(1025, np.int64), np.zeros(8192, np.int32)
 
-    def _learn(self, word: bytes) -> int:
-        v, k = self.vocabulary, len(self.known)
-        score, path, loss = v.best_and_loss(word.decode())
-        ids = [i for part in path for i in part][::-1]
-        if k == len(self.score):
-            self.score, self.loss, self.ok = (np.concatenate((x, np.zeros_like(x))) for x in (self.score, self.loss, self.ok))
-            self.start = np.concatenate((self.start, np.zeros(k, np.int64)))
-        a = int(self.start[k])
-        b = a + len(ids)
+    def _learn(self, words: list[bytes]) -> None:
+        """Add distinct unknown words to the table."""
+        v = self.vocabulary
+        short = [w for w in words if len(w) <= SHORT] if v.lattice else []
+        flat, count, score, loss = v.lattice.best(short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        if len(short) < len(words):
+            long = [w for w in words if len(w) > SHORT or not v.lattice]
+            got = [v.best_and_loss(w.decode()) for w in long]
+            ids = [[i for part in path for i in part][::-1] for _, path, _ in got]
+            flat = np.concatenate((flat, *[np.array(x, np.int32) for x in ids]))
+            count = np.append(count, [len(x) for x in ids])
+            score, loss = np.append(score, [s for s, _, _ in got]), np.append(loss, [x for _, _, x in got])
+            words = short + long
+        at, n = len(self.known), len(words)
+        if at + n > len(self.score):
+            grown = max(2 * len(self.score), at + n)
+            self.score, self.loss, self.ok, self.start = (np.append(x, np.zeros(grown - at, x.dtype)) for x in (self.score[:at], self.loss[:at], self.ok[:at], self.start[: at + 1]))
+        a = int(self.start[at])
+        b = a + len(flat)
         if b > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), b - len(self.ids)), np.int32)))
-        self.ids[a:b], self.start[k + 1] = ids, b
-        self.score[k], self.loss[k], self.ok[k] = score, loss, b"".join(map(v.spelled.__getitem__, ids)) == word
-        self.known[word] = k
-        self.held += len(word) + 4 * len(ids)
-        return k
+        self.ids[a:b] = flat
+        self.start[at + 1 : at + n + 1] = a + np.cumsum(count)
+        self.score[at : at + n], self.loss[at : at + n] = score, loss
+        self.ok[at : at + n] = v.decodes_to(flat, count, words)
+        self.known.update(zip(words, range(at, at + n)))
+        self.held += sum(map(len, words)) + 4 * len(flat)
 
     def _ways(self, word: bytes) -> list[tuple[float, int, bytes]]:
         """The n best segmentations of a word: (score, ids, packed ids)."""
@@ -251,11 +284,10 @@ class Encoder:
             self._clear()
         words, first = self.words(column)
         coded = words.dictionary_encode()
-        get = self.known.get
-        table = np.zeros(len(coded.dictionary), np.int64)
-        for k, w in enumerate(coded.dictionary.to_pylist()):
-            i = get(w)
-            table[k] = self._learn(w) if i is None else i
+        distinct = coded.dictionary.to_pylist()
+        if new := [w for w in distinct if w not in self.known]:
+            self._learn(new)
+        table = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         at = table[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
         starts = self.start[at]
         sizes = self.start[at + 1] - starts

@@ -476,6 +476,20 @@ def test_nbest_by_enumeration(vocabulary, text):
     assert set((round(s, 6), n, x) for s, n, x in got) <= known and len({x for _, _, x in got}) == len(got)
 
 
+def test_words_together_and_one_by_one(vocabulary):
+    rng = random.Random(2)
+    alphabet = "abcdeorst  é日\U0001f600\0▁\n."
+    words = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14))) for _ in range(3000)} | {"a", " ", "\0"})
+    flat, count, score, loss = vocabulary.lattice.best([w.encode() for w in words])
+    ends = np.cumsum(count)
+    for k, w in enumerate(words):
+        top, path, lost = vocabulary.best_and_loss(w)
+        assert [i for part in path for i in part][::-1] == flat[ends[k] - count[k] : ends[k]].tolist()
+        assert score[k] == top and (loss[k] == lost or min(loss[k], lost) > 1e290)
+    assert vocabulary.decodes_to(flat, count, [w.encode() for w in words]).all()
+    assert not vocabulary.decodes_to(np.roll(flat, 1), count, [w.encode() for w in words]).all()
+
+
 def test_words_are_cut_as_stated(vocabulary):
     texts = ["a b", "  a  \n\n b\nc ", "\n", " ", "\u2581é x", "", "ab\n", "x\n y"]
     words, first = pieces.Encoder(vocabulary, 1).words(pa.array(texts))

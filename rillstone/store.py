@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set, a temporary one of this machine is (local runs and tests only)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="rillstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The session's checkpoint folder (``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given).
+
+    Where neither is set, an application whose executors are threads of the driver
+    (master ``local``) gets a temporary folder, deleted at exit; any other is refused,
+    as its executors wouldn't see a folder of the driver's machine.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _local_dirs:
+        folder = _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="rillstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _local_dirs[context.applicationId]
 
 
 #: Most rows of a round that go through the driver.
@@ -26,7 +42,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # holding a table keeps its id from being used again
         self.n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -34,7 +50,7 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
     def keep_round(self, df: DataFrame, last: int | None) -> tuple[DataFrame, int | None]:
@@ -51,9 +67,18 @@ class Scratch:
         out = self.keep(df)
         return out, 0 if out.isEmpty() else None
 
+    def clear(self) -> None:
+        """Delete all tables that were kept."""
+        self._delete(self.root)
+        self.paths.clear()
+
     def drop(self, *kept: DataFrame) -> None:
         """Delete tables that no later result reads."""
-        jvm = self.spark.sparkContext._jvm
         for df in kept:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if (kept_at := self.paths.pop(id(df), None)) is not None:  # rounds that became literal rows have none
+                self._delete(kept_at[1])
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

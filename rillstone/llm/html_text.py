@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import kernels as K
+
 #: Elements without content, with raw text, that start a block, that are never main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math".split())
@@ -194,6 +196,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "text")
     dropped.  Null and empty pages, and pages without main text, give the empty
     text.  Repeated rows give equal results; an empty table gives an empty one.
     """
+    K.small_batches(pages.sparkSession)
     pages = pages.drop(*[c for c in (out_col, "n_chars") if c in pages.columns])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), f"`{out_col}` string", "n_chars long"])
 

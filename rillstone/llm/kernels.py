@@ -11,13 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes, modulo 2**64 (arbitrary constants).
 BYTE_BASE = 0x9E6C63D0876A9A47
 WORD_BASE = 0xC2B2AE3D27D4EB4F
 MASK = (1 << 64) - 1
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Most bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 
 #: Word separators of the whitespace word rule: space and the ASCII controls 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
@@ -35,6 +38,17 @@ LOWER[0x41:0x5B] += 32
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of this session cut by bytes, unless the session already asks for smaller ones.
+
+    Spark's own bounds (10,000 rows, 64 MB) are too wide for texts where several
+    workers share an executor.  Only the cutting changes, no result does.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and ``base**-i`` modulo 2**64 for i < n; kept and grown by doubling."""
     have = _tables.get(base)

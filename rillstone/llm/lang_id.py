@@ -172,6 +172,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    K.small_batches(docs.sparkSession)
     part = F.crc32(F.col("id").cast("string")) % folds
     model = train(docs, id_col="id", text_col="text", lang_col="lang", usable=part != fold, per_language=per_language)
     sent = docs.sparkSession.sparkContext.broadcast(model)

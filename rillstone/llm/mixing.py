@@ -193,6 +193,7 @@ def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] = TARGE
     an empty table gives an empty one.
     """
     added = ["n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"]
+    K.small_batches(docs.sparkSession)
     names = [c for c in keep or docs.columns if c not in added]
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
     k = len(DOMAINS)

@@ -24,15 +24,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import Scratch
 from . import kernels as K
 from .components import components
-from ..store import Scratch
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 14, 3
-DF_BITS, IDF_SCALE = 18, 1024
+DF_BITS, IDF_SCALE = 20, 1024
 TABLE_BITS, SEED = 15, 5
 #: Fewest shared samples of a proposed pair, and most nodes of a key that one task compares.
 LEAST_SHARED, GROUP = 22, 2000
@@ -140,15 +140,20 @@ class Sampler:
         return out
 
 
+def low_bytes(samples: np.ndarray) -> np.ndarray:
+    """(samples, texts): the last byte of each sample, which makes counting cheap; it can only count too many as shared."""
+    return np.ascontiguousarray(samples.T.astype(np.uint8))
+
+
 def forest(samples: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Edges (i, j, shared samples) of a maximum spanning forest over pairs that share ``least`` samples or more (Prim's algorithm)."""
     n = len(samples)
     best, came, out = np.full(n, -1), np.zeros(n, np.int64), []
     todo = np.ones(n, bool)
-    at = 0
+    at, low = 0, low_bytes(samples)
     for _ in range(n - 1):
         todo[at] = False
-        shared = (samples == samples[at]).sum(axis=1)
+        shared = (low == low[:, at, None]).sum(axis=0, dtype=np.uint8).astype(np.int64)
         closer = todo & (shared > best)
         best[closer], came[closer] = shared[closer], at
         at = int(np.where(todo, best, -2).argmax())
@@ -232,16 +237,19 @@ def candidates(task: dict, rows: int, least: int):
     A pair that shares several keys is met in that of the first band only.
     ``task["comp"]`` may change between two rows.
     """
-    samples, comp, band = task["samples"], task["comp"], task["band"][0]
+    samples, comp, band, low = task["samples"], task["comp"], task["band"][0], low_bytes(task["samples"])
     asks = np.flatnonzero(task["asks"])
-    given = np.flatnonzero(~task["asks"])
-    for n, x in enumerate(asks):
-        others = np.append(given, asks[:n]) if task["i"][0] == 0 else given
-        others = others[comp[others] != comp[x]]
+    meets = ~task["asks"]
+    for x in asks:
+        may = meets & (comp != comp[x])
+        if task["i"][0] == 0:
+            meets[x] = True  # for those that ask later
+        others = np.flatnonzero(may & ((low == low[:, x, None]).sum(axis=0, dtype=np.uint8) >= least))
+        if not len(others):
+            continue
         same = samples[others] == samples[x]
         shared = same.sum(axis=1)
-        good = np.flatnonzero(shared >= least)
-        good = good[same[good].reshape(len(good), samples.shape[1] // rows, rows).all(axis=2).argmax(axis=1) == band]
+        good = np.flatnonzero((shared >= least) & (same.reshape(len(others), -1, rows).all(axis=2).argmax(axis=1) == band))
         if len(good):
             yield x, others[good[np.argsort(-shared[good], kind="stable")]]
 
@@ -275,6 +283,11 @@ def joining(task: dict, rows: int, least: int, threshold: float) -> list[tuple[i
     return out
 
 
+def text_hashes(text_col: str) -> tuple[Column, Column]:
+    """The two hashes that tell a text."""
+    return F.xxhash64(text_col), F.xxhash64(F.lit(SEED), text_col)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: id_col, node (hash of the text) and class_id, the least id of its class.
 
@@ -288,11 +301,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id.  Repeated rows are in one class; equal ids with different texts are told
     apart by node.  Other columns take no part; an empty table gives an empty one.
     """
+    K.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     scratch = Scratch(spark)
     least_shared = LEAST_SHARED * bands * rows // (BANDS * ROWS)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    part = docs.where("id IS NOT NULL AND text IS NOT NULL").withColumn("node", F.xxhash64("text"))
+    h, g = text_hashes("text")
+    part = docs.where("id IS NOT NULL AND text IS NOT NULL").withColumns({"h": h, "g": g})
     kind = docs.schema["id"].dataType.simpleString()
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs, "text"))
     sampler = spark.sparkContext.broadcast(Sampler(bands * rows))
@@ -310,10 +325,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     k, x = next(own) if n else (None, None)
                     keys.append(k)
                     drawn.append(None if x is None else x.tobytes())
-            yield pa.record_batch({"id": batch.column("id"), "node": batch.column("node"), "keys": pa.array(keys, pa.list_(pa.int64())), "samples": pa.array(drawn, pa.binary())})
-
-    signed = part.mapInArrow(sign, f"id {kind}, node long, keys array<bigint>, samples binary")
-    nodes = scratch.keep(signed.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("samples").alias("samples")))
+            yield pa.record_batch({x: batch.column(x) for x in ("id", "h", "g")} | {"keys": pa.array(keys, pa.list_(pa.int64())), "samples": pa.array(drawn, pa.binary())})
+
+    # a text is told by two hashes; a node's number is the first, unless different texts share that
+    signed = part.mapInArrow(sign, f"id {kind}, h long, g long, keys array<bigint>, samples binary")
+    told = scratch.keep(signed.groupBy("h", "g").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("samples").alias("samples")))
+    twins = scratch.keep(told.groupBy("h").agg(F.min("g").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"))
+    nodes = told.withColumn("node", F.col("h"))
+    if not twins.isEmpty():
+        nodes = scratch.keep(told.join(twins, "h", "left").withColumn("node", F.expr("if(g <> first, xxhash64(g, h), h)")).drop("first"))
     held = scratch.keep(nodes.select("node", F.posexplode("keys").alias("band", "key")))
     of_key = [F.min("node").alias("low"), F.max("node").alias("high"), F.count("node").alias("n")]
     shared = scratch.keep(held.groupBy("key").agg(*of_key).where("low <> high"))
@@ -333,9 +353,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             like = [similarity(unpack(x.as_py()), unpack(y.as_py())) for x, y in zip(batch.column("items_a"), batch.column("items_b"))]
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "like": pa.array(like, pa.float64())})
 
-    involved = members.select("node").distinct().join(nodes.select("node", F.col("least").alias("id")), "node")
-    # a node's text comes from the row with the least id; repeats of that row give the same items
-    texts = part.join(involved, ["node", "id"]).select("node", "text")
+    involved = members.select("node").distinct().join(nodes.select("node", "h", "g", F.col("least").alias("id")), "node")
+    # a node's text comes from the row with the least id; repeats of that row give the same items.  A task's rows of the
+    # hashed side are without text, so far smaller than what streams past them, which needn't be sorted
+    texts = part.join(involved.hint("shuffle_hash"), ["h", "g", "id"]).select("node", "text")
     items = scratch.keep(texts.mapInArrow(weigh, "node long, items binary").groupBy("node").agg(F.first("items").alias("items")))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -419,12 +440,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 labels = components(links, scratch)
         scratch.drop(pairs, best)
 
-    classes = nodes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    classes = scratch.keep(classes)
-    least = scratch.keep(classes.groupBy("comp").agg(F.min("least").alias("class_id")))
-    of_node = scratch.keep(classes.join(least, "comp").select("node", "class_id"))
-    scratch.drop(classes, least, items)
-    out = part.select("id", "node").join(of_node, "node").select("id", "node", "class_id")
+    # nodes without links are their own class; only linked ones are grouped
+    classes = scratch.keep(nodes.select("h", "g", "node", "least").join(labels, "node", "left"))
+    linked = classes.where("comp IS NOT NULL")
+    least = linked.groupBy("comp").agg(F.min("least").alias("class_id"))
+    alone = classes.where("comp IS NULL").select("h", "g", "node", F.col("least").alias("class_id"))
+    of_node = scratch.keep(linked.join(least, "comp").select("h", "g", "node", "class_id").union(alone))
+    scratch.drop(classes, items, told)
+    out = part.select("id", "h", "g").join(of_node, ["h", "g"]).select("id", "node", "class_id")
     alone = docs.where("id IS NULL OR text IS NULL").select("id", F.lit(None).cast("long").alias("node"), F.col("id").alias("class_id"))
     return out.union(alone).withColumnRenamed("id", id_col)
 
@@ -437,10 +460,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     names = docs.columns
     classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
-    first = classes.where(F.col("node").isNotNull() & (F.col(id_col) == F.col("class_id"))).groupBy(F.col("class_id").alias("__id")).agg(F.min("node").alias("__node"))
-    marked = docs.withColumn("__hash", F.xxhash64(text_col))
-    kept = marked.join(first, (F.col(id_col) == F.col("__id")) & (F.col("__hash") == F.col("__node")))
-    often = docs.groupBy(F.col(id_col).alias("__often")).count().where("count > 1 AND __often IS NOT NULL").select("__often")
-    once = kept.join(often, F.col(id_col) == F.col("__often"), "left_anti").select(*names)
-    twice = kept.join(often, F.col(id_col) == F.col("__often"), "left_semi").dropDuplicates(["__id"]).select(*names)
-    return once.union(twice).union(docs.where(F.col(id_col).isNull() | F.col(text_col).isNull()))
+    scratch = Scratch(docs.sparkSession)
+    first = scratch.keep(classes.where(F.col("node").isNotNull() & (F.col(id_col) == F.col("class_id"))).groupBy(F.col("class_id").alias("__id")).agg(F.min("node").alias("__node"), F.count("*").alias("__n")))
+    # rows of the hashed side have no text
+    kept = docs.join(first.hint("shuffle_hash"), F.col(id_col) == F.col("__id"))
+    h, g = text_hashes(text_col)
+    kept = kept.where(F.col("__node").isin(h, F.xxhash64(g, h)))
+    out = kept.where("__n = 1").select(*names).union(docs.where(F.col(id_col).isNull() | F.col(text_col).isNull()))
+    if not first.where("__n > 1").isEmpty():
+        out = out.union(kept.where("__n > 1").dropDuplicates(["__id"]).select(*names))
+    return out

@@ -371,6 +371,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, nbest
     equal results; an empty table gives an empty one.  Unspaced texts of any length
     are one word, whose lattice needs about a kilobyte a character.
     """
+    K.small_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     docs = docs.drop("ids", "n_tokens", "score", "ids_sha256", "nbest", "round_trip")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), ADDED])

@@ -229,6 +229,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     get equal scores.  An empty table gives an empty one.
     """
     docs = docs.drop("held_out", "score", "predicted")
+    K.small_batches(docs.sparkSession)
     model = train(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, folds=folds, fold=fold)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

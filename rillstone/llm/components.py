@@ -53,7 +53,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         node, root = contracted(np.asarray(t.column("a")), np.asarray(t.column("b")))
         return pa.record_batch({"a": pa.array(node, pa.int64()), "b": pa.array(root, pa.int64())})
 
-    few = edges.select("a", "b").where("a <> b").mapInArrow(stars, "a long, b long")
+    # dealt without a number of partitions, so that a small table comes to one and is settled there
+    few = edges.select("a", "b").where("a <> b").repartition("a").mapInArrow(stars, "a long, b long")
     both = scratch.keep(few.select(F.explode(F.expr("array(struct(a, b), struct(b AS a, a AS b))")).alias("e")).select("e.*").distinct())
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")))
     while True:

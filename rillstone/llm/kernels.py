@@ -21,6 +21,8 @@ MASK = (1 << 64) - 1
 BLOCK_BYTES = 1 << 18
 #: Most bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
+#: Most rows of a batch that the Parquet reader fills at once.
+READ_ROWS = 512
 
 #: Word separators of the whitespace word rule: space and the ASCII controls 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
@@ -39,14 +41,17 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have Arrow batches of this session cut by bytes, unless the session already asks for smaller ones.
+    """Have batches of long texts cut smaller in this session, unless it already asks for smaller ones.
 
-    Spark's own bounds (10,000 rows, 64 MB) are too wide for texts where several
-    workers share an executor.  Only the cutting changes, no result does.
+    Spark's own bounds (10,000 rows or 64 MB for Arrow, 4096 rows for the Parquet
+    reader) are too wide for texts where several workers share an executor.  Only
+    the cutting changes, no result does.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < size(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -330,15 +330,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # a text is told by two hashes; a node's number is the first, unless different texts share that
     signed = part.mapInArrow(sign, f"id {kind}, h long, g long, keys array<bigint>, samples binary")
     told = scratch.keep(signed.groupBy("h", "g").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("samples").alias("samples")))
-    twins = scratch.keep(told.groupBy("h").agg(F.min("g").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"))
+    twins = told.groupBy("h").agg(F.min("g").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     nodes = told.withColumn("node", F.col("h"))
     if not twins.isEmpty():
         nodes = scratch.keep(told.join(twins, "h", "left").withColumn("node", F.expr("if(g <> first, xxhash64(g, h), h)")).drop("first"))
-    held = scratch.keep(nodes.select("node", F.posexplode("keys").alias("band", "key")))
+    held = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     of_key = [F.min("node").alias("low"), F.max("node").alias("high"), F.count("node").alias("n")]
-    shared = scratch.keep(held.groupBy("key").agg(*of_key).where("low <> high"))
-    members = scratch.keep(held.join(shared, "key"))
-    scratch.drop(held, shared)
+    members = scratch.keep(held.join(held.groupBy("key").agg(*of_key).where("low <> high"), "key"))
 
     def weigh(batches):
         for batch in batches:
@@ -394,7 +392,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         blocks = lambda n, size: F.ceil(F.greatest((n) / F.lit(GROUP), (size) / F.lit(BLOCK_BYTES))).cast("int")
         keys = by_comp.groupBy("key").agg(*totals).where("comps > 1")
         keys = keys.select("key", F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.size")).alias("p"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("q"))
-        in_block = of.join(scratch.keep(keys), "key").withColumn("at", F.xxhash64("node", F.lit(SEED)))
+        in_block = of.join(keys, "key").withColumn("at", F.xxhash64("node", F.lit(SEED)))
         in_block = in_block.withColumn("b", F.expr("int(if(comp = main, pmod(at, p), p + pmod(at, q)))"))
         asking = "if(b >= p, transform(sequence(0, b - 1), x -> struct(x AS i, b AS j, true AS asks)), array())"
         given = "if(greatest(b + 1, p) < p + q, transform(sequence(greatest(b + 1, p), p + q - 1), x -> struct(b AS i, x AS j, false AS asks)), array())"
@@ -414,12 +412,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
         drawn = nodes.select("node", "samples")
-        some = scratch.keep(dealt(rows_of.join(drawn, "node")).select(*task, "band", "node", "comp", "asks", "samples").mapInArrow(unsettled, "key long, i int, j int, band int, node long, comp long, asks boolean"))
-        out = scratch.keep(dealt(some.join(drawn, "node").join(items, "node")).mapInArrow(link, "a long, b long").distinct())
-        scratch.drop(of, some)
-        return out
+        some = dealt(rows_of.join(drawn, "node")).select(*task, "band", "node", "comp", "asks", "samples").mapInArrow(unsettled, "key long, i int, j int, band int, node long, comp long, asks boolean")
+        return dealt(some.join(drawn, "node").join(items, "node")).mapInArrow(link, "a long, b long").distinct()
 
-    links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, comp long")
     if not members.isEmpty():
         # a key of more nodes is dealt to blocks for its first forests, and each of its nodes is proposed with the least of them
@@ -430,14 +425,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = found.union(star).groupBy("a", "b").agg(F.max("shared").alias("shared"))
         pairs = scratch.keep(found)
         best = scratch.keep(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
-        links = scratch.keep(verify(best))
-        labels = components(links, scratch)
+        labels = components(verify(best), scratch)
         rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
         for more in (lambda: verify(apart(rest, labels)), lambda: remaining(members, labels)):
             new = scratch.keep(more())
-            if not new.isEmpty():
-                links = scratch.keep(links.union(new))
-                labels = components(links, scratch)
+            if not new.isEmpty():  # what is linked already stands in as stars
+                labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(new), scratch)
         scratch.drop(pairs, best)
 
     # nodes without links are their own class; only linked ones are grouped
@@ -445,8 +438,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked = classes.where("comp IS NOT NULL")
     least = linked.groupBy("comp").agg(F.min("least").alias("class_id"))
     alone = classes.where("comp IS NULL").select("h", "g", "node", F.col("least").alias("class_id"))
-    of_node = scratch.keep(linked.join(least, "comp").select("h", "g", "node", "class_id").union(alone))
-    scratch.drop(classes, items, told)
+    of_node = linked.join(least, "comp").select("h", "g", "node", "class_id").union(alone)
+    scratch.drop(items, told)
     out = part.select("id", "h", "g").join(of_node, ["h", "g"]).select("id", "node", "class_id")
     alone = docs.where("id IS NULL OR text IS NULL").select("id", F.lit(None).cast("long").alias("node"), F.col("id").alias("class_id"))
     return out.union(alone).withColumnRenamed("id", id_col)

@@ -6,12 +6,14 @@ power of two.  So the order of paragraphs doesn't matter, and a paragraph is
 inserted or deleted by adding or subtracting its vector.  A vector has
 
 * ``EQUAL`` lanes modulo 2**32, filled by four seeded 64-bit hashes of the paragraph, and
-* one lane modulo 2**32 that counts the paragraph's *pieces* (cut at spaces behind ``.,;:!?`` and words in d, g or y), and
-* 128 lanes modulo 2**14 that hold, for each bit of two 64-bit hashes of a piece, how many pieces have it set.
+* one lane modulo 2**32 that counts the paragraph's *pieces* (cut at spaces behind ``.,;:!?`` and words in d, g or y,
+  and behind ideographic marks), and
+* 128 lanes modulo 2**30 that hold, for each bit of two 64-bit hashes of a piece, how many pieces have it set.
 
 The first decide equality.  Twice a bit's count less the number of pieces is a
 sum of random signs, so the cosine of two documents' sums estimates what share
 of pieces they have in common (standard error about 0.09); below 0 it counts as 0.
+That is exact arithmetic up to 2**30 pieces (over a gigabyte of text) a document.
 
 All is one row's arithmetic: no shuffle is needed for a fingerprint.
 """
@@ -21,13 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import id_bounds, input_size, range_of
+from .ranges import id_ranges, input_size
 
 EQUAL, SEEDS = 8, 4
 LOW32 = 0xFFFFFFFF
-LANE = 0x3FFF  # a lane's values
-LANES = 0x3FFF3FFF3FFF3FFF  # four lanes in a long, two free bits above each
-ONES = 0x0001000100010001
+LANE = 0x3FFFFFFF  # a lane's values
+LANES = 0x3FFFFFFF3FFFFFFF  # two lanes in a long, two free bits above each
+ONES = 0x0000000100000001
 
 
 def _sum32(array: str, value: str) -> str:
@@ -35,21 +37,21 @@ def _sum32(array: str, value: str) -> str:
 
 
 def with_vector(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``, the fingerprint vector (41 longs) of the string column ``text`` (null counts as empty)."""
+    """Add ``out``, the fingerprint vector (73 longs) of the string column ``text`` (null counts as empty)."""
     q = f"coalesce(`{text}`, '')"
     hashes = [f"transform(split({q}, '\\n', -1), p -> xxhash64({s}, p)) AS e{s}" for s in range(SEEDS)]
-    pieces = [f"transform(split({q}, '\\n|(?<=[.,;:!?dgy]) ', -1), p -> xxhash64({s}, p)) AS b{s}" for s in (11, 12)]
+    pieces = [f"transform(split({q}, '\\n|(?<=[.,;:!?dgy]) |(?<=[。、，；：！？])', -1), p -> xxhash64({s}, p)) AS b{s}" for s in (11, 12)]
     h = "__h"
     df = df.withColumn(h, F.expr(f"named_struct({', '.join(f'{chr(39)}{x.split(chr(32))[-1]}{chr(39)}, {x.rpartition(" AS ")[0]}' for x in [*hashes, *pieces])})"))
     equal = ", ".join(f"{_sum32(f'{h}.e{s}', 'h')}, {_sum32(f'{h}.e{s}', 'shiftrightunsigned(h, 32)')}" for s in range(SEEDS))
-    lanes = ", ".join(f"transform(sequence(0, 15), s -> aggregate({h}.b{s}, 0L, (a, h) -> ((a & {LANES}L) + (shiftrightunsigned(h, s) & {ONES}L))))" for s in (11, 12))
+    lanes = ", ".join(f"transform(sequence(0, 31), s -> aggregate({h}.b{s}, 0L, (a, h) -> ((a & {LANES}L) + (shiftrightunsigned(h, s) & {ONES}L))))" for s in (11, 12))
     vector = f"concat(array({equal}, CAST(size({h}.b11) AS BIGINT)), transform(concat({lanes}), x -> x & {LANES}L))"
     return df.withColumn(out, F.expr(vector)).drop(h)
 
 
 def added(a: str, b: str, sign: int = 1) -> Column:
     """The vector of two documents together (sign 1), or of the first without the paragraphs of the second (-1)."""
-    carry = "" if sign == 1 else f" + CASE WHEN i < {EQUAL + 1} THEN {LOW32 + 1}L ELSE {ONES << 14}L END"
+    carry = "" if sign == 1 else f" + CASE WHEN i < {EQUAL + 1} THEN {LOW32 + 1}L ELSE {ONES << 30}L END"
     op = "+" if sign == 1 else "-"
     s = f"transform(zip_with({a}, {b}, (x, y) -> named_struct('x', x, 'y', y)), (p, i) -> (p.x{carry} {op} p.y) & CASE WHEN i < {EQUAL + 1} THEN {LOW32}L ELSE {LANES}L END)"
     return F.expr(s)
@@ -61,45 +63,45 @@ def hex_of(vector: str) -> Column:
 
 
 def signs(vector: str) -> Column:
-    """The 128 sums of signs; exact while each stays within 2**13 of 0."""
+    """The 128 sums of signs: twice each bit's count less the number of pieces; exact below 2**30 pieces."""
     n = f"{vector}[{EQUAL}]"
-    each = ", ".join(f"pmod(2 * (shiftright(x, {16 * k}) & {LANE}L) - {n} + {1 << 14}L, {1 << 15}L) - {1 << 14}L" for k in range(4))
-    # a count modulo 2**14 gives twice the count modulo 2**15
-    return F.expr(f"flatten(transform(slice({vector}, {EQUAL + 2}, 32), x -> array({each})))")
+    each = ", ".join(f"2 * (shiftright(x, {32 * k}) & {LANE}L) - {n}" for k in range(2))
+    return F.expr(f"flatten(transform(slice({vector}, {EQUAL + 2}, 64), x -> array({each})))")
 
 
 def _dot(a: str, b: str) -> str:
-    return f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0L, (s, v) -> s + v)"
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * y), 0.0D, (s, v) -> s + v)"
 
 
 def likeness(a: str, b: str, sa: str, sb: str) -> Column:
     """1 for equal vectors, else the cosine of the sums of signs, 0 to 1."""
-    norm = f"sqrt(CAST({_dot(sa, sa)} AS DOUBLE) * CAST({_dot(sb, sb)} AS DOUBLE))"
+    norm = f"sqrt({_dot(sa, sa)} * {_dot(sb, sb)})"
     return F.expr(f"CASE WHEN {a} = {b} THEN 1.0D ELSE coalesce(greatest(0.0D, least(1.0D, {_dot(sa, sb)} / nullif({norm}, 0.0D))), 0.0D) END")
 
 
 def with_next(docs: DataFrame, values: dict[str, str], *, id_col: str = "doc_id", tie: str, chunk_bytes: int = 8 << 20, text_col: str = "text") -> DataFrame:
     """Add to each row ``values`` ({new column: column}) of the next row by descending id, the first row following the last.
 
-    Rows are dealt into ranges of ids; the top row of each range is copied to
-    the range above as the row that follows its last.  One shuffle, no global sort.
-    Rows without an id stand after all others; rows with equal ids are ordered by ``tie``.
+    Rows are dealt into ranges of ids, ``MAX_BOUNDS`` at most; the top row of each
+    range is copied to the range above as the row that follows its last.  One
+    shuffle, no global sort; a range that outgrows memory is sorted on disk.
+    Rows with equal ids are ordered by ``tie``.  Rows without an id have no place in
+    the order: they are followed by themselves, and dealt by ``tie``.
     """
-    rows, size = input_size(docs, id_col, text_col)
-    bounds = id_bounds(docs.select(id_col), id_col, max(1, min(rows, -(-size // chunk_bytes))))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(bounds) // 4, 1)
-    n = max(1, len(bounds))
-    place = F.coalesce(range_of(F.col(id_col).cast("long"), bounds), F.lit(0))
-    if bounds:
-        top = F.array_contains(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col(id_col).cast("long")) & F.col(id_col).isNotNull()
-    else:  # no row has an id: one order by ties
-        top = F.lit(True)
-    here = F.struct(F.lit(False).alias("copy"), place.alias("range"))
-    above = F.struct(F.lit(True).alias("copy"), F.pmod(place + 1, F.lit(n)).alias("range"))
+    rows, size = input_size(docs, text_col)
+    ranges = id_ranges(docs.select(id_col), id_col, min(rows, -(-size // chunk_bytes)))
+    n = max(1, len(ranges.bounds))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 4)
+    key = F.col(id_col).cast("long")
+    known = key.isNotNull()
+    docs = docs.withColumn("__range", F.coalesce(ranges.coarse(key), F.pmod(F.xxhash64(tie), F.lit(n)).cast("int")))
+    top = known & (key == ranges.upper(F.col("__range"))) if ranges.bounds else F.lit(False)
+    here = F.struct(F.lit(False).alias("copy"), F.col("__range").alias("range"))
+    above = F.struct(F.lit(True).alias("copy"), F.pmod(F.col("__range") + 1, F.lit(n)).alias("range"))
     placed = docs.withColumn("__at", F.explode(F.when(top, F.array(here, above)).otherwise(F.array(here)))).withColumn("__range", F.col("__at.range"))
-    w = Window.partitionBy("__range").orderBy(F.col("__at.copy"), F.col(id_col).desc_nulls_last(), F.col(tie))
-    out = placed.repartition(parts, "__range").withColumns({new: F.lead(old).over(w) for new, old in values.items()})
-    return out.where(~F.col("__at.copy")).drop("__at", "__range")
+    w = Window.partitionBy("__range", known).orderBy(F.col("__at.copy"), F.col(id_col).desc(), F.col(tie))
+    follows = {new: F.when(known, F.lead(old).over(w)).otherwise(F.col(old)) for new, old in values.items()}
+    return placed.repartition(parts, "__range").withColumns(follows).where(~F.col("__at.copy")).drop("__at", "__range")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +114,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text, or all of it if it is shorter.
 
     Null texts count as empty.  Rows with equal ids follow each other ordered by
-    text, those without an id come last; a single document is its own next.
+    text; a single document is its own next, and so is a row without an id.
     Equal texts have equal fingerprints; so have texts that differ only in the
     order of paragraphs.  Other columns take no part.  An empty table gives an empty one.
     """

@@ -7,6 +7,7 @@ of bounded size, so no Python loop runs over words.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ BYTE_BASE = 0x9E6C63D0876A9A47
 WORD_BASE = 0xC2B2AE3D27D4EB4F
 MASK = (1 << 64) - 1
 BLOCK_BYTES = 1 << 18
+#: Most bytes of a word, and most words of a window, that one polynomial hashes.
+LONG = 64
 #: Most bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
 #: Most rows of a batch that the Parquet reader fills at once.
@@ -125,7 +128,10 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower:
     """64-bit hash of each word; equal words have equal hashes wherever they stand.
 
     Prefix sums of a polynomial over the bytes give any word's value by one
-    subtraction; sums restart every ``BLOCK_BYTES`` at a word's start.
+    subtraction; sums restart every ``BLOCK_BYTES`` at a word's start.  Polynomials
+    modulo 2**64 are only fit for short words (from about 1,000 letters on, words
+    with different letters are known that share every such value), so words of more
+    than ``LONG`` bytes are hashed by themselves.
     """
     out = np.empty(len(starts), dtype=U64)
     i = 0
@@ -140,6 +146,8 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower:
         np.cumsum((part.astype(U64) + U64(1)) * up[: b - a], out=sums[1:])
         s, e = starts[i:j] - a, ends[i:j] - a
         out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15))
+        for k in np.flatnonzero(e - s > LONG).tolist():
+            out[i + k] = int.from_bytes(hashlib.blake2b(part[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
         i = j
     return out
 
@@ -166,19 +174,47 @@ def word_blocks(column, sep: np.ndarray, *, lower: bool = False, most: int = BLO
 
 
 def window_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rabin-Karp hash of every window of ``size`` words inside one row: (hash, index of its first word)."""
+    """Rabin-Karp hash of every window of ``size`` words inside one row: (hash, index of its first word).
+
+    Windows of more than ``LONG`` words chain the hashes of windows of that size, for
+    the reason given at ``word_hashes``.
+    """
     n = len(words.hashes)
     if n < size:
         return np.zeros(0, U64), np.zeros(0, np.int64)
+    step = min(size, LONG)
     up, down = powers(WORD_BASE, n + 1)
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum(words.hashes * up[:n], out=sums[1:])
-    h = mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
+    part = mix((sums[step:] - sums[:-step]) * down[: n - step + 1])
+    h = part[: n - size + 1]
+    for at in [*range(step, size - step, step), size - step][: -(-size // step) - 1]:
+        h = mix(h * U64(0x9E3779B97F4A7C15) + part[at : at + n - size + 1])
     left = np.repeat(words.first[1:], np.diff(words.first))[: n - size + 1] - np.arange(n - size + 1)
     at = np.flatnonzero(left >= size)
     return h[at], at
 
 
+def window_checks(words: Words, size: int) -> np.ndarray:
+    """A second hash, of 32 bits, of the window of ``size`` words that starts at each word (windows may cross rows).
+
+    Words' hashes are mixed anew and folded by doubling, so it shares no structure with ``window_hashes``.
+    """
+    n = len(words.hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint32)
+    power, width, out, at = (words.hashes ^ (words.hashes >> U64(29))) * U64(0xD6E8FEB86659FD93), 1, None, 0
+    while True:  # ``power`` folds windows of ``width`` words
+        if size & width:
+            own = power[at : at + n]
+            out = own if out is None else out * U64(0xA0761D6478BD642F) + (own ^ (own >> U64(31)))
+            at += width
+        if at == size:
+            return (mix(out) >> U64(32)).astype(np.uint32)
+        power = power[:-width] * U64(0xE7037ED1A0B428DB) + (power[width:] ^ (power[width:] >> U64(33)))
+        width *= 2
+
+
 def pack_sorted(h: np.ndarray) -> bytes:
     """Sorted 64-bit values as byte planes of their differences, without the planes that are all zero."""
     d = np.diff(h, prepend=U64(0))

@@ -6,19 +6,26 @@
    hashes, sorted; they go, as packed difference planes (about six bytes a
    window), to the *bucket* of their leading bits.  A window that is frequent in
    a chunk counts once there, so no hot window makes a hot bucket.
+   A second hash of 32 bits goes along.
 3. A bucket holds all occurrences of its hashes, by chunk.  As chunks are ranges
    of ids, a window of chunk c starts in a document with a smaller id outside
    the chunk exactly if an earlier chunk has its hash: one bit a window goes back.
 4. Each chunk, met again through the same shuffle files, adds what it sees
    itself, merges the repeated windows to maximal intervals and cuts them out.
 
-Two different windows are mistaken for equal only if their 64-bit hashes
-collide: with n distinct windows this has a chance of about n / 2**64 a window.
+Two different windows are mistaken for equal only if both hashes, 96 bits
+together, collide: with n distinct windows about n**2 / 2**97 pairs do, which is
+below a hundredth for the 2 * 10**13 windows of 100 TB.
+
+A chunk sends a row to each bucket it has windows for.  Chunks grow with the root
+of the input, up to ``MOST_CHUNK_BYTES``, so that these rows stay large; they
+number less than the windows at any size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +34,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .ranges import id_bounds, input_size, range_of
+from .ranges import even_ranges, input_size
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, MOST_CHUNK_BYTES, ROW_BYTES = 8 << 20, 32 << 20, 64
 CHUNK, ADDED = "__chunk", ("n_words", "n_removed", "kept_sha256", "removed")
 
 
+def by_both(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, hashes, second hashes) by hash, by second hash among equals, and as they come among equals of both."""
+    order = np.argsort(h, kind="stable")
+    sorted_h, sorted_check = h[order], check[order]
+    same = sorted_h[1:] == sorted_h[:-1]
+    if (same & (sorted_check[1:] != sorted_check[:-1])).any():  # a true collision of 64 bits
+        order = np.lexsort((check, h))
+        sorted_h, sorted_check = h[order], check[order]
+    return order, sorted_h, sorted_check
+
+
 class _Chunk:
     """Windows of the documents of one chunk, in the order of their ids; rows without id take no part."""
 
@@ -43,21 +61,21 @@ class _Chunk:
         self.order = np.lexsort((keys, ~known))
         self.texts = table.column(text_col).take(pa.array(self.order))
         self.known, self.keys, self.window = known[self.order], keys[self.order], window
-        hashes, docs, at = [], [], []
+        hashes, docs, at, more = [], [], [], []
         for i, _, w in K.word_blocks(self.texts, K.SPACE):
             h, first = K.window_hashes(w, window)
             hashes.append(h)
+            more.append(K.window_checks(w, window)[first])
             docs.append(w.rows()[first] + i)
             at.append(first - w.first[docs[-1] - i])
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        h, d, p = cat(hashes, np.uint64), cat(docs, np.int64), cat(at, np.int64)
+        h, d, p, check = cat(hashes, np.uint64), cat(docs, np.int64), cat(at, np.int64), cat(more, np.uint32)
         use = self.known[d]
-        self.h, self.d, self.p = h[use], d[use], p[use]
-        order = np.argsort(self.h, kind="stable")  # documents ascend, so the first of equals has the smallest id
-        sorted_h = self.h[order]
+        self.d, self.p = d[use], p[use]
+        order, sorted_h, sorted_check = by_both(h[use], check[use])  # documents ascend, so the first of equals has the smallest id
         new = np.ones(len(order), bool)
-        new[1:] = sorted_h[1:] != sorted_h[:-1]
-        self.unique = sorted_h[new]
+        new[1:] = (sorted_h[1:] != sorted_h[:-1]) | (sorted_check[1:] != sorted_check[:-1])
+        self.unique, self.check = sorted_h[new], sorted_check[new]
         self.which = np.empty(len(order), np.int64)
         self.which[order] = np.cumsum(new) - 1
         self.least = self.keys[self.d[order[new]]]
@@ -103,36 +121,58 @@ def _cut(texts, gone: dict[int, list[tuple[int, int]]]):
             yield b" ".join(parts), n, sum(y - x for x, y in cuts)
 
 
-def substring_dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _cut_in_place(texts, gone: dict[int, list[tuple[int, int]]]):
+    """Each text without the removed words and the white space behind them; texts that lose nothing stay as they are."""
+    for i, j, w in K.word_blocks(texts, K.SPACE):
+        raw = w.buf.tobytes()
+        for doc in range(i, j):
+            a, b = int(w.first[doc - i]), int(w.first[doc - i + 1])
+            at, end = int(w.offs[doc - i]), int(w.offs[doc - i + 1])
+            parts = []
+            for x, y in gone.get(doc, ()):
+                parts.append(raw[at : w.starts[a + x]])
+                at = int(w.starts[a + y]) if a + y < b else end
+            yield b"".join([*parts, raw[at:end]])
+
+
+def substring_dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, layout: bool = False) -> DataFrame:
     """Remove each word covered by a window whose words also start in a document with a smaller id.
 
     Words are maximal runs of characters other than space and U+0009 to U+000D,
     unchanged; windows are ``window`` consecutive words of one document, judged
     on the input.  Returns all columns of ``docs``, with the kept words joined by
-    one space as ``text_col``, and n_words, n_removed (long), kept_sha256 (of the
+    one space as ``text_col`` (with ``layout``: the text itself, without the removed
+    words and the white space behind each; null texts stay null), and n_words, n_removed (long), kept_sha256 (of the
     kept text, lowercase hex) and removed (array of [start, end) word positions);
     input columns of these four names are replaced.
 
     Null texts have no words and give the empty text.  Rows with a null id have
     no place in the order: they are returned whole and remove nothing.  Rows that
-    share an id don't remove from each other.  An empty table gives an empty one.
+    share an id don't remove from each other, and are held by one task together.
+    An empty table gives an empty one.
     """
-    docs = docs.drop(*ADDED, CHUNK)
+    docs = docs.drop(*ADDED)
+    place = CHUNK
+    while place in docs.columns:
+        place += "_"
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType())))])
     names = docs.columns
-    rows, size = input_size(docs, id_col, text_col)
-    bounds = id_bounds(docs.select(id_col), id_col, max(1, min(rows, -(-size // chunk_bytes))))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(bounds) // 4, 1)
-    buckets = parts
-    spread = F.pmod(F.xxhash64(text_col), F.lit(max(1, len(bounds)))).cast("int")
-    dealt = docs.withColumn(CHUNK, F.coalesce(range_of(F.col(id_col).cast("long"), bounds), spread)).repartition(parts, CHUNK)
+    _, size = input_size(docs, text_col)
+    chunk_bytes = min(max(chunk_bytes, math.isqrt(ROW_BYTES * size)), max(chunk_bytes, MOST_CHUNK_BYTES))
+    own = F.octet_length(text_col).cast("long")
+    ranges = even_ranges(docs.select(F.col(id_col), F.col(text_col)), id_col, F.coalesce(own, F.lit(0)), chunk_bytes)
+    parts = buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges.n // 4, 1)
+    key = F.col(id_col).cast("long")
+    spread = F.pmod(F.xxhash64(text_col), F.lit(ranges.n)).cast("int")
+    dealt = docs.withColumn(place, F.coalesce(ranges.fine(key, ranges.coarse(key)), spread)).repartition(parts, place)
 
     def emit(table: pa.Table) -> pa.Table:
         c = _Chunk(table, id_col, text_col, window, buckets)
         some = np.flatnonzero(np.diff(c.cuts))
         blobs = [K.pack_sorted(c.unique[c.cuts[b] : c.cuts[b + 1]]) for b in some.tolist()]
-        chunk = table.column(CHUNK)[0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(some), pa.int32()), "bucket": pa.array(some, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        checks = [c.check[c.cuts[b] : c.cuts[b + 1]].tobytes() for b in some.tolist()]
+        chunk = table.column(place)[0].as_py()
+        return pa.table({"chunk": pa.array([chunk] * len(some), pa.int32()), "bucket": pa.array(some, pa.int32()), "blob": pa.array(blobs, pa.binary()), "checks": pa.array(checks, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
         """Which hashes of each chunk also are in an earlier chunk, one bit each."""
@@ -141,14 +181,15 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id"
         blobs = table.column("blob")
         lists = [K.unpack_sorted(blobs[int(i)].as_py()) for i in order]
         h = np.concatenate(lists)
-        by = np.argsort(h, kind="stable")
+        check = np.frombuffer(b"".join(table.column("checks")[int(i)].as_py() for i in order), np.uint32)
+        by, h, check = by_both(h, check)
         seen = np.zeros(len(h), bool)
-        seen[by[1:]] = h[by[1:]] == h[by[:-1]]
+        seen[by[1:]] = (h[1:] == h[:-1]) & (check[1:] == check[:-1])
         bits, at = [], 0
         for x in lists:
             bits.append(np.packbits(seen[at : at + len(x)]).tobytes())
             at += len(x)
-        return pa.table({CHUNK: pa.array(chunks[order], pa.int32()), "bucket": table.column("bucket").take(pa.array(order)), "bits": pa.array(bits, pa.binary())})
+        return pa.table({place: pa.array(chunks[order], pa.int32()), "bucket": table.column("bucket").take(pa.array(order)), "bits": pa.array(bits, pa.binary())})
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         c = _Chunk(table, id_col, text_col, window, buckets) if len(table) else None
@@ -166,12 +207,14 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id"
             n_removed.append(k)
             sums.append(hashlib.sha256(text).hexdigest())
         out = table.select(names).take(pa.array(c.order))
+        if layout:
+            kept = [y.decode() if ok else None for ok, y in zip(c.texts.is_valid().to_pylist(), _cut_in_place(c.texts, gone))]
         out = out.set_column(names.index(text_col), text_col, pa.array(kept, pa.string()))
         removed = [[list(x) for x in gone.get(i, ())] for i in range(len(kept))]
         for name, values, kind in (("n_words", n_words, pa.int64()), ("n_removed", n_removed, pa.int64()), ("kept_sha256", sums, pa.string()), ("removed", removed, pa.list_(pa.list_(pa.int64())))):
             out = out.append_column(name, pa.array(values, kind))
         return out
 
-    sent = dealt.groupBy(CHUNK).applyInArrow(emit, "chunk int, bucket int, blob binary")
-    replies = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, f"{CHUNK} int, bucket int, bits binary")
-    return dealt.groupBy(CHUNK).cogroup(replies.repartition(parts, CHUNK).groupBy(CHUNK)).applyInArrow(finish, schema)
+    sent = dealt.groupBy(place).applyInArrow(emit, "chunk int, bucket int, blob binary, checks binary")
+    replies = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, f"`{place}` int, bucket int, bits binary")
+    return dealt.groupBy(place).cogroup(replies.repartition(parts, place).groupBy(place)).applyInArrow(finish, schema)

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rillstone.llm import fingerprint, html_text, kernels, lang_id, license_scan, mixing, near_dedup, pieces, substring_dedup, topk_search, toxicity
@@ -86,6 +87,76 @@ def test_substring_dedup_removes_maximal_runs(spark):
     assert (r.text, r.removed, r.n_removed) == ("a b", [[1, 81]], 80)
 
 
+def test_removed_spans_are_cut_from_the_text_itself(spark):
+    w = [f"w{i}" for i in range(120)]
+    own, line = " ".join(w), "\n\t".join(w[10:90])
+    rows = [(1, own + "\n"), (2, f"  a\n\n{line} \n b\n"), (3, "x  y\n"), (4, None), (5, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__chunk", F.lit("kept"))
+    got = substring_dedup.substring_dedup(df, layout=True)
+    assert {r.doc_id: r.text for r in got.collect()} == {1: own + "\n", 2: "  a\n\nb\n", 3: "x  y\n", 4: None, 5: ""}
+    assert got.where("__chunk = 'kept'").count() == 5
+
+
+def test_words_of_thue_and_morse_differ(spark):
+    for n in (1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+        (_, _, w), = kernels.word_blocks(pa.array([f"{a} {b} {a}"]), kernels.SPACE)
+        assert w.hashes[0] == w.hashes[2] != w.hashes[1]
+        words = [x for t in (a, b) for x in t]
+        (_, _, w), = kernels.word_blocks(pa.array([" ".join(words)]), kernels.SPACE)
+        h, at = kernels.window_hashes(w, n)
+        assert h[at.tolist().index(0)] != h[at.tolist().index(n)]
+    lead = " ".join(f"v{i}" for i in range(49))
+    rows = [(1, f"{lead} {a}"), (2, f"{lead} {b}"), (3, f"{lead} {a}")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 0, 3: 50}
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 50, 64, 65, 130, 200])
+def test_windows_are_told_by_their_words(size):
+    rng = random.Random(size)
+    words = [rng.choice("abc") if rng.random() < 0.2 else "x" for _ in range(900)]
+    words = words[:300] + words[100:400] + words[300:]
+    (_, _, w), = kernels.word_blocks(pa.array([" ".join(words)]), kernels.SPACE)
+    h, at = kernels.window_hashes(w, size)
+    check = kernels.window_checks(w, size)
+    told, checked = {}, {}
+    for k, first in zip(h.tolist(), at.tolist()):
+        told.setdefault(tuple(words[first : first + size]), set()).add(k)
+        checked.setdefault(tuple(words[first : first + size]), set()).add(int(check[first]))
+    assert all(len(x) == 1 for x in [*told.values(), *checked.values()]) and len(at) == len(words) - size + 1
+    assert len({x for y in told.values() for x in y}) == len(told) == len({x for y in checked.values() for x in y})
+
+
+def test_true_collisions_are_told_apart():
+    h, check = np.array([7, 7, 5, 7, 7], np.uint64), np.array([2, 1, 9, 2, 1], np.uint32)
+    order, a, b = substring_dedup.by_both(h, check)
+    assert order.tolist() == [2, 1, 4, 0, 3] and a.tolist() == [5, 7, 7, 7, 7] and b.tolist() == [9, 1, 1, 2, 2]
+
+
+def test_ranges_ascend_and_are_bounded(spark):
+    from rillstone.llm import ranges
+
+    rng = random.Random(1)
+    rows = [(int(rng.random() ** 3 * 10**6) if k % 3 else 7, "x" * rng.randrange(50)) for k in range(5000)] + [(None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    r = ranges.even_ranges(df, "doc_id", F.length("text"), 1000)
+    key = F.col("doc_id")
+    got = df.select("doc_id", r.coarse(key).alias("c"), r.fine(key, r.coarse(key)).alias("f"), r.upper(r.coarse(key)).alias("top"), F.length("text").alias("n")).collect()
+    some = sorted((x for x in got if x.doc_id is not None), key=lambda x: x.doc_id)
+    assert all(a.f <= b.f and (a.doc_id != b.doc_id or a.f == b.f) for a, b in zip(some, some[1:])) and {x.f for x in some} <= set(range(r.n)) and r.n > 40
+    assert all(x.f is None and x.c is None for x in got if x.doc_id is None)
+    assert {x.top for x in some} == {max(y.doc_id for y in some if y.c == x.c) for x in some}
+    sizes = {}
+    for x in some:
+        if x.doc_id != 7:
+            sizes[x.f] = sizes.get(x.f, 0) + x.n
+    assert max(sizes.values()) < 4000
+    plan = lambda n: ranges.id_ranges(spark.range(n).selectExpr("id AS doc_id"), "doc_id", n).coarse(key)
+    assert abs(len(str(plan(50)._jc.toString()).split("(")) - len(str(plan(4000)._jc.toString()).split("("))) < 40
+
+
 def test_packing_round_trips():
     for h in ([], [0], [5, 5, 9], sorted(random.Random(0).getrandbits(64) for _ in range(300))):
         a = np.array(h, np.uint64)
@@ -136,23 +207,59 @@ def test_license_join_is_exact(spark):
 # -- fingerprints
 
 
+def sign_sums(text):
+    """The 128 sums of signs by the definition, piece by piece."""
+    out = np.zeros(128)
+    for k, seed in enumerate((11, 12)):
+        start = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=42)
+        for piece in re.split(r"\n|(?<=[.,;:!?dgy]) |(?<=[。、，；：！？])", text):
+            h = xxhash.xxh64_intdigest(piece.encode(), seed=start)
+            out[64 * k : 64 * k + 64] += [1 if h >> b & 1 else -1 for b in range(64)]
+    return out
+
+
+def cosine(a, b):
+    size = float(np.sqrt((a @ a) * (b @ b)))
+    return min(1.0, max(0.0, float(a @ b) / size)) if size else 0.0
+
+
+def test_likeness_of_very_long_texts(spark):
+    text = "the same line, again\n" * 40_000
+    rows = [(2, text), (1, "other, much\nshorter")]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].near_edited > 0.9 > 0.3 > got[2].near_next and got[2].n_chars == len(text)
+
+
+def test_rows_without_id_follow_themselves(spark):
+    rows = [(None, f"text {k}") for k in range(40)] + [(k, f"own {k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit(1))
+    got = fingerprint.with_next(df, {"after": "text"}, tie="text", chunk_bytes=50).collect()
+    assert len(got) == 80 and all(r.after == (r.text if r.doc_id is None else f"own {(r.doc_id - 1) % 40}") for r in got)
+
+
 def test_fingerprints(docs):
     rows = corpus()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (-r[0], r[1] or ""))
+    pairs = [(r, order[(k + 1) % len(order)]) for k, r in enumerate(order)] + [(r, r) for r in rows if r[0] is None]
     want = {}
-    for k, r in enumerate(order):
-        text, nxt = r[1] or "", order[(k + 1) % len(order)][1] or ""
+    for r, after in pairs:
+        text, nxt = r[1] or "", after[1] or ""
         n = len(text) // 3
-        want.setdefault((r[0], len(text)), set()).add(hashlib.sha256((text[: len(text) - n] + nxt[:n]).encode()).hexdigest())
+        edited = text[: len(text) - n] + nxt[:n]
+        sums = [sign_sums(x) for x in (text, edited, nxt)]
+        key = r[0], len(text), hashlib.sha256(edited.encode()).hexdigest()
+        want.setdefault(key, []).append([1.0 if x == text else cosine(sums[0], y) for x, y in ((edited, sums[1]), (nxt, sums[2]))])
     got = fingerprint.fingerprints(docs).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert r.edited_sha256 in want[r.doc_id, r.n_chars] and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        near = want[r.doc_id, r.n_chars, r.edited_sha256]
+        assert any(abs(r.near_edited - a) < 1e-9 and abs(r.near_next - b) < 1e-9 for a, b in near)
     by = {}
     for r in got:
         by.setdefault(r.doc_id, r)
     assert by[0].fingerprint == by[24].fingerprint != by[1].fingerprint
-    assert np.mean([r.near_edited for r in got if r.n_chars > 300]) > 0.4 + np.mean([r.near_next for r in got if r.n_chars > 300])
+    placed = [r for r in got if r.n_chars > 300 and r.doc_id is not None]  # the others follow themselves
+    assert np.mean([r.near_edited for r in placed]) > 0.4 + np.mean([r.near_next for r in placed])
 
 
 def test_fingerprints_are_homomorphic(spark):

@@ -30,6 +30,7 @@ LOW32 = 0xFFFFFFFF
 LANE = 0x3FFFFFFF  # a lane's values
 LANES = 0x3FFFFFFF3FFFFFFF  # two lanes in a long, two free bits above each
 ONES = 0x0000000100000001
+FEW = 1 << 15
 
 
 def _sum32(array: str, value: str) -> str:
@@ -39,12 +40,18 @@ def _sum32(array: str, value: str) -> str:
 def with_vector(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``, the fingerprint vector (73 longs) of the string column ``text`` (null counts as empty)."""
     q = f"coalesce(`{text}`, '')"
-    hashes = [f"transform(split({q}, '\\n', -1), p -> xxhash64({s}, p)) AS e{s}" for s in range(SEEDS)]
-    pieces = [f"transform(split({q}, '\\n|(?<=[.,;:!?dgy]) |(?<=[。、，；：！？])', -1), p -> xxhash64({s}, p)) AS b{s}" for s in (11, 12)]
+    # each split is bound once and hashed under all seeds
+    bound = lambda split, names: f"transform(array({split}), ps -> named_struct({', '.join(f"'{x}', transform(ps, p -> xxhash64({s}, p))" for x, s in names)}))[0]"
+    paragraphs = bound(f"split({q}, '\\n', -1)", [(f"e{s}", s) for s in range(SEEDS)])
+    pieces = bound(f"split({q}, '\\n|(?<=[.,;:!?dgy]) |(?<=[。、，；：！？])', -1)", [("b11", 11), ("b12", 12)])
     h = "__h"
-    df = df.withColumn(h, F.expr(f"named_struct({', '.join(f'{chr(39)}{x.split(chr(32))[-1]}{chr(39)}, {x.rpartition(" AS ")[0]}' for x in [*hashes, *pieces])})"))
+    df = df.withColumn(h, F.expr(f"struct({paragraphs} AS p, {pieces} AS q)")).withColumn(h, F.expr(f"struct({h}.p.*, {h}.q.*)"))
     equal = ", ".join(f"{_sum32(f'{h}.e{s}', 'h')}, {_sum32(f'{h}.e{s}', 'shiftrightunsigned(h, 32)')}" for s in range(SEEDS))
-    lanes = ", ".join(f"transform(sequence(0, 31), s -> aggregate({h}.b{s}, 0L, (a, h) -> ((a & {LANES}L) + (shiftrightunsigned(h, s) & {ONES}L))))" for s in (11, 12))
+    # fewer than FEW pieces can't fill 16 bits, so four counts fit in a long and are dealt to lanes at the end
+    many = "transform(sequence(0, 31), s -> aggregate({b}, 0L, (a, h) -> ((a & {lanes}L) + (shiftrightunsigned(h, s) & {ones}L))))"
+    packed = "transform(sequence(0, 15), s -> aggregate({b}, 0L, (a, h) -> a + (shiftrightunsigned(h, s) & {fours}L)))"
+    few = f"transform(array({packed}), q -> concat(transform(q, x -> x & {{pairs}}L), transform(q, x -> shiftright(x, 16) & {{pairs}}L)))[0]"
+    lanes = ", ".join(f"CASE WHEN size({h}.b{s}) < {FEW} THEN {few} ELSE {many} END".format(b=f"{h}.b{s}", lanes=LANES, ones=ONES, fours=ONES << 16 | ONES, pairs=0x0000FFFF0000FFFF) for s in (11, 12))
     vector = f"concat(array({equal}, CAST(size({h}.b11) AS BIGINT)), transform(concat({lanes}), x -> x & {LANES}L))"
     return df.withColumn(out, F.expr(vector)).drop(h)
 

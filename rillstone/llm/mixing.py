@@ -8,15 +8,19 @@ expected tokens of each domain, sum of r * tokens * posterior, match the targets
 
     minimise |sum_d r_d (n_d / T) p_d - target|^2,  r >= 0
 
-by accelerated projected gradients from r = 1, in the metric that weighs a
-document by its tokens, which keeps rates of equal posteriors equal.  A step is
-one aggregation over the table of posteriors that sends the driver a number for
-each domain; a document's rate follows from the history of those gradients, so
-no state is kept between steps.
+by projected gradients from r = 1, in the metric that weighs a document by its
+tokens, which keeps rates of equal posteriors equal.  Step sizes are spectral
+(Barzilai and Borwein), with the safe step 1 / L after a rise; as the problem has
+the rank of the domains, few rounds are needed.  A round is one aggregation over
+the table of posteriors that sends the driver a number for each domain; a
+document's rate follows from the history of steps, so no state is kept between
+rounds.  The fit ends when the targets are met or the projected gradient vanishes,
+that is when no rate can change for the better, both to within ``TOLERANCE``.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +36,12 @@ TARGETS = {"fine": 0.80, "poor": 0.15, "toxic": 0.05}
 #: Bound of the training sample, in documents of each domain.
 PER_DOMAIN = 1500
 BITS, EPOCHS, RATE, SEED = 15, 40, 0.1, 3
-STEPS, TOLERANCE = 100, 1e-4
+TOLERANCE = 1e-6
+#: Rounds without end mean that the numbers are beyond this arithmetic; the fit then fails rather than stop halfway.
+RUNAWAY = 2000
+#: Longest text (bytes) that the classifiers learn from; all texts are scored whole.
+SAMPLE_BYTES = 1 << 20
+log = logging.getLogger(__name__)
 STYLE = 7
 
 
@@ -103,8 +112,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, per
     keep = F.lit(False)
     for d, n in sizes.items():
         keep = keep | ((F.col("domain") == d) & (F.pmod(F.xxhash64(F.lit("mixing"), "id"), F.lit(1 << 20)) < min(1 << 20, -(-per_domain * (1 << 20) // n))))
-    # about per_domain rows of each domain, so small enough to broadcast
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(marks.where(keep)), "id")
+    # about per_domain labels of each domain (their number was counted), so few enough to broadcast; of rows that share an id one is learned from
+    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    sample = usable.join(F.broadcast(marks.where(keep)), "id").groupBy("id").agg(F.min("domain").alias("domain"), F.min("text").alias("text"))
 
     def hashed(batches):
         for batch in batches:
@@ -126,68 +136,102 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, per
     return fit_classifier(ids, np.repeat(np.arange(len(n)), n), n, style, np.asarray(got.column("domain")).astype(np.int64), prior / max(prior.sum(), 1))
 
 
-def replay(p: np.ndarray, history: np.ndarray, step: float, momentum: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, extrapolated rates) of documents with posteriors ``p`` after the gradients of ``history``; a momentum of None grows with the steps."""
-    r = y = np.ones(len(p))
-    for k, g in enumerate(history):
-        new = np.maximum(0, y - step * (p @ g))
-        y = new + (k / (k + 3) if momentum is None else momentum) * (new - r)
-        r = new
-    return r, y
+@dataclass
+class Fit:
+    """Steps (size, miss of each domain) whose replay gives the rates, and what is left: the miss and the projected gradient."""
+
+    steps: list[tuple[float, np.ndarray]]
+    miss: np.ndarray
+    gradient: float
+
+    @property
+    def rounds(self) -> int:
+        return len(self.steps)
 
 
-def fit_rates(table: DataFrame, target: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """(history of gradients, step, momentum) for a table (n_tokens, p: array); each step aggregates all rows once."""
-    k = len(target)
+def replay(p: np.ndarray, steps: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, rates before the last step) of documents with posteriors ``p``."""
+    r = before = np.ones(len(p))
+    for size, miss in steps:
+        before, r = r, np.maximum(0, r - size * (p @ miss))
+    return r, before
+
+
+def fit_rates(table: DataFrame, targets: dict[str, float] | None, factors: dict[str, float] | None = None) -> Fit:
+    """Fit a table (n_tokens, p: array) to shares of its tokens, or to its own shares times ``factors``; a round reads it once."""
+    k = len(DOMAINS)
+
+    def totals(steps: list[tuple[float, np.ndarray]]) -> np.ndarray:
+        """Expected tokens by domain, squared step and squared projected gradient before it, tokens, and at first the Gram matrix."""
 
-    def totals(history: np.ndarray, step: float, gram: bool = False):
         def run(batches):
-            out = np.zeros(2 * k + 1 + k * k)
+            out = np.zeros(k + 3 + (0 if steps else k * k))
             for batch in batches:
                 n = np.asarray(batch.column("n_tokens")).astype(float)
                 p = np.asarray(batch.column("p").flatten()).reshape(-1, k)
-                r, y = replay(p, history, step, momentum)
+                r, before = replay(p, steps)
                 out[:k] += (n * r) @ p
-                out[k : 2 * k] += (n * y) @ p
-                out[2 * k] += n.sum()
-                if gram:
-                    out[2 * k + 1 :] += ((p * n[:, None]).T @ p).ravel()
+                out[k] += n @ (r - before) ** 2
+                out[k + 2] += n.sum()
+                if steps:
+                    g = p @ steps[-1][1]
+                    out[k + 1] += n @ np.where(before > 0, g, np.minimum(g, 0)) ** 2
+                else:
+                    out[k + 3 :] += ((p * n[:, None]).T @ p).ravel()
             yield pa.record_batch({"at": pa.array(range(len(out)), pa.int32()), "v": pa.array(out, pa.float64())})
 
         got = table.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(2 * k + 1 + k * k)
+        out = np.zeros(k + 3 + (0 if steps else k * k))
         for at, v in got:
             out[at] = v
         return out
 
-    momentum = 0.0
-    first = totals(np.zeros((0, k)), 0.0, gram=True)
-    tokens = first[2 * k]
+    first = totals([])
+    tokens = first[k + 2]
     if not tokens:
-        return np.zeros((0, k)), 0.0, 0.0
-    spectrum = np.linalg.eigvalsh(first[2 * k + 1 :].reshape(k, k) / tokens)
-    step = 1 / max(float(spectrum[-1]), 1e-9)
-    root = float(np.sqrt(max(spectrum[0] * step, 1e-3)))  # the best constant momentum for this condition number
-    momentum = (1 - root) / (1 + root)
-    history = np.zeros((0, k))
-    sums = first
-    for _ in range(STEPS):
-        if np.abs(sums[:k] / tokens - target).max() < TOLERANCE:
+        return Fit([], np.zeros(k), 0.0)
+    share = first[:k] / tokens
+    if targets is None:
+        target = share * [(factors or {}).get(d, 1.0) for d in DOMAINS]
+    else:
+        target = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    safe = 1 / max(float(np.linalg.eigvalsh(first[k + 3 :].reshape(k, k) / tokens)[-1]), 1e-12)
+    steps: list[tuple[float, np.ndarray]] = []
+    size, miss = safe, np.round(share - target, 12)  # rounded, as the order of summation varies
+    best = [float(miss @ miss)]
+    while float(np.abs(miss).max()) > TOLERANCE:
+        if len(steps) >= RUNAWAY:
+            raise RuntimeError(f"rates not settled after {RUNAWAY} rounds; miss {miss.tolist()}")
+        steps.append((size, miss))
+        got = totals(steps)
+        gradient = float(np.sqrt(got[k + 1] / tokens))
+        if gradient <= TOLERANCE:
+            steps.pop()
             break
-        history = np.vstack([history, sums[k : 2 * k] / tokens - target])
-        sums = totals(history, step)
-    return history, step, momentum
-
-
-def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+        new = np.round(got[:k] / tokens - target, 12)
+        turn = float((new - miss) @ (new - miss))
+        size = safe if float(new @ new) > max(best[-5:]) or not turn else float(got[k] / tokens) / turn
+        best.append(float(new @ new))
+        miss = new
+    else:
+        gradient = float(np.linalg.norm(miss))
+    log.info("rates settled after %d rounds; miss %s, projected gradient %g", len(steps), miss.tolist(), gradient)
+    return Fit(steps, miss, gradient)
+
+
+def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None = TARGETS, factors: dict[str, float] | None = None, report: list[Fit] | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Fit rates that bring the domains' expected tokens to ``targets`` (shares of the tokens of ``docs``).
 
+    With ``targets`` None, the targets are the measured shares of ``docs`` times
+    ``factors`` (1 where none is given).  ``report`` gets the fit: its rounds, what it
+    misses of each target, and the projected gradient that is left.
     Returns the columns ``keep`` (all by default; input columns with the added
     names are replaced) with n_tokens (words), p_fine, p_poor and p_toxic
     (posteriors), rate (0 or more) and copies: the rate rounded up or down by a
     hash of the id, so that its expectation is the rate.
 
-    Null and empty texts have no tokens and the posteriors of an empty text.
+    Null and empty texts have no tokens and the posteriors of an empty text.  Rows
+    without an id draw by a hash of their text.
     Without labels all posteriors are equal.  Targets that no nonnegative rates
     reach are met in the sense of least squares.  Repeated rows get equal rates;
     an empty table gives an empty one.
@@ -216,18 +260,21 @@ def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] = TARGE
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     scratch = Scratch(docs.sparkSession)
     small = scratch.keep(docs.select(text_col).mapInArrow(score, "n_tokens long, p array<double>"))
-    history, step, momentum = fit_rates(small, np.array([targets.get(d, 0.0) for d in DOMAINS]))
+    fit = fit_rates(small, targets, factors)
     scratch.drop(small)
+    if report is not None:
+        report.append(fit)
+    steps = fit.steps
 
     def rate(batches):
         for batch in batches:
             n, p = scored(batch.column(text_col))
-            r, _ = replay(p, history, step, momentum)
+            r, _ = replay(p, steps)
             out = {name: batch.column(name) for name in names} | {"n_tokens": pa.array(n, pa.int64())}
             out |= {f"p_{d}": pa.array(p[:, x], pa.float64()) for x, d in enumerate(DOMAINS)}
             yield pa.record_batch(out | {"rate": pa.array(r, pa.float64()), "draw": batch.column("__draw")})
 
-    draw = F.pmod(F.xxhash64(F.lit("copies"), id_col), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(1 << 30)) / float(1 << 30)
     rows = docs.select(*dict.fromkeys([*names, text_col]), draw.alias("__draw"))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "n_tokens long", *(f"p_{d} double" for d in DOMAINS), "rate double", "draw double"])
     return rows.mapInArrow(rate, schema).withColumn("copies", F.floor(F.col("rate") + F.col("draw")).cast("int")).drop("draw")

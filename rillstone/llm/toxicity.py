@@ -32,6 +32,10 @@ MOST_TOXIC, MOST_CLEAN, EPOCHS, BATCH, RATE, SEED = 2000, 3000, 6, 32, 0.05, 11
 PER_LANGUAGE = 500
 #: Fewest calibration documents of each class for a language to have a threshold of its own.
 LEAST_CALIBRATION = 10
+#: Longest text (bytes) that is learned from; all texts are scored whole.
+SAMPLE_BYTES = 1 << 20
+#: Words of a text that are convolved at a time.
+SPAN = 1 << 16
 
 
 def word_ids(words: K.Words) -> np.ndarray:
@@ -71,14 +75,27 @@ class Net:
             yield y
 
     def pooled(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The greatest activation of each filter in each text; 0 for a text without words."""
+        """The greatest activation of each filter in each text; 0 for a text without words.
+
+        A text of more than ``SPAN`` words is pooled in spans that overlap by a window,
+        which gives the same maxima in bounded memory.
+        """
         out = np.zeros((len(first) - 1, len(WIDTHS) * FILTERS), np.float32)
+        if len(first) == 2 and len(ids) > SPAN:
+            over = max(WIDTHS) - 1
+            for a in range(0, len(ids) - over, SPAN):
+                part = ids[a : a + SPAN + over]
+                np.maximum(out, self.pooled_span(part), out=out)
+            return out
         some = np.flatnonzero(np.diff(first))
         if len(some):
             for k, y in enumerate(self.activations(ids, first)):
                 out[some, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(y, first[some], axis=0)
         return out
 
+    def pooled_span(self, ids: np.ndarray) -> np.ndarray:
+        return np.concatenate([y.max(axis=0) for y in self.activations(ids, np.array([0, len(ids)]))])[None]
+
     def probability(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.pooled(ids, first) @ self.out + self.out_bias, -30, 30)))
 
@@ -186,8 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lan
     for value, most in ((1, most_toxic), (0, most_clean)):
         if sizes.get(value):
             keep = keep | ((F.col("toxic") == value) & (draw < min(1 << 20, -(-most * (1 << 20) // sizes[value]))))
-    # the drawn labels number about most_toxic + most_clean, so they are small enough to broadcast
-    sample = rows.join(F.broadcast(marks.where(keep)), "id").select("id", "text", "lang", "toxic")
+    # the drawn labels number about most_toxic + most_clean (all were counted), so few enough to broadcast; of rows that share an id one is learned from
+    drawn = rows.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(marks.where(keep)), "id")
+    sample = drawn.groupBy("id").agg(F.min("text").alias("text"), F.min_by("lang", "text").alias("lang"), F.min("toxic").alias("toxic"))
 
     def hashed(batches):
         for batch in batches:

@@ -478,6 +478,15 @@ def test_toxicity(spark):
     assert {r.score for r in none} == {0.0} and toxicity.score_toxicity(empty(spark), lab).count() == 0
 
 
+def test_pooling_in_spans(monkeypatch):
+    net = toxicity.Net.new(np.random.default_rng(1))
+    ids = np.random.default_rng(2).integers(0, 1 << 16, (1000, 3))
+    whole = net.pooled(ids, np.array([0, 1000]))
+    for span in (999, 998, 100, 7):
+        monkeypatch.setattr(toxicity, "SPAN", span)
+        assert np.allclose(net.pooled(ids, np.array([0, 1000])), whole, atol=1e-6)
+
+
 def test_gradient_of_the_net():
     rng = np.random.default_rng(0)
     texts = [rng.integers(0, 1 << 16, (n, 3)) for n in (1, 2, 5, 0, 9)]
@@ -514,20 +523,54 @@ def test_mixing_meets_targets(spark):
     assert again.columns == df.drop("rate").columns and again.count() == sum(r.copies for r in got)
 
 
-def test_rates_solve_the_least_squares_problem():
-    """Projected gradients reach the optimum also where nonnegativity binds."""
+def active_set_optimum(a, target, weight):
+    """The residual of min |a r - target|, r >= 0, by Lawson and Hanson's active sets: an independent solver."""
+    n = a.shape[1]
+    x, free = np.zeros(n), np.zeros(n, bool)
+    while True:
+        w = a.T @ (target - a @ x) / weight
+        if free.all() or w[~free].max() < 1e-12:
+            return a @ x - target
+        free[np.argmax(np.where(free, -np.inf, w))] = True
+        while True:
+            s = np.zeros(n)
+            s[free] = np.linalg.lstsq(a[:, free], target, rcond=None)[0]
+            if s[free].min() > 0:
+                break
+            at = free & (s <= 0)
+            x = x + (x[at] / (x[at] - s[at])).min() * (s - x)
+            free &= x > 1e-15
+        x = s
+
+
+@pytest.mark.parametrize("target", [(0.9, 0.1, 0.0), (3.0, 0.0, 0.0), (0.0, 0.0, 0.0)])
+def test_rates_solve_the_least_squares_problem(spark, target):
+    """Also where nonnegativity binds and where no rates reach the targets."""
     rng = np.random.default_rng(0)
-    p = rng.dirichlet([1, 1, 1], 300)
-    n = rng.integers(1, 50, 300).astype(float)
-    target = np.array([0.9, 0.1, 0.0])
-    a = (p * (n / n.sum())[:, None]).T
-    history, step = np.zeros((0, 3)), 1 / np.linalg.eigvalsh((p * n[:, None]).T @ p / n.sum())[-1]
-    for _ in range(400):
-        _, y = mixing.replay(p, history, step)
-        history = np.vstack([history, a @ y - target])
-    r, _ = mixing.replay(p, history, step)
-    grad = a.T @ (a @ r - target) / (n / n.sum())
-    assert (r >= 0).all() and np.abs(np.minimum(r, grad)).max() < 2e-2
+    p = rng.dirichlet([1, 1, 1], 60)
+    n = rng.integers(1, 50, 60)
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
+    fit = mixing.fit_rates(table, dict(zip(mixing.DOMAINS, target)))
+    r, _ = mixing.replay(p, fit.steps)
+    w = n / n.sum()
+    a = (p * w[:, None]).T
+    miss = a @ r - target
+    assert np.allclose(miss, fit.miss, atol=1e-9) and (r >= 0).all() and 0 < fit.rounds < 100
+    assert np.allclose(miss, active_set_optimum(a, np.array(target), w), atol=1e-4)
+    grad = p @ miss
+    assert np.sqrt(w @ np.where(r > 0, grad, np.minimum(grad, 0)) ** 2) < 2e-6
+
+
+def test_mixing_relative_to_measured_shares(spark):
+    docs, labels = labelled()
+    df, lab = spark.createDataFrame([*docs, (None, "a text without id", "en", "s"), (None, "another one", "en", "s")], DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    report = []
+    got = mixing.mix(df, lab, targets=None, factors={"fine": 1.2}, report=report).collect()
+    total = sum(r.n_tokens for r in got)
+    share = {d: sum(r.n_tokens * r[f"p_{d}"] for r in got) / total for d in mixing.DOMAINS}
+    for d, k in (("fine", 1.2), ("poor", 1.0), ("toxic", 1.0)):
+        assert abs(sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in got) / total - k * share[d]) < 1e-5
+    assert report[0].rounds > 0 and np.abs(report[0].miss).max() < 1e-5 and len(got) == len(docs) + 2
 
 
 # -- HTML

@@ -563,7 +563,7 @@ def test_rates_solve_the_least_squares_problem(spark, target):
 
 def test_mixing_relative_to_measured_shares(spark):
     docs, labels = labelled()
-    df, lab = spark.createDataFrame([*docs, (None, "a text without id", "en", "s"), (None, "another one", "en", "s")], DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df, lab = spark.createDataFrame([*docs, (None, "a text without id", "en", "s", 17), (None, "another one", "en", "s", 11)], DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     report = []
     got = mixing.mix(df, lab, targets=None, factors={"fine": 1.2}, report=report).collect()
     total = sum(r.n_tokens for r in got)

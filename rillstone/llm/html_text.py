@@ -4,10 +4,15 @@ Every text node has a root-to-leaf tag path.  For each path of a page the text
 length and the punctuation marks are summed and divided by the path's nodes; the
 two ratios are smoothed over neighbouring nodes in page order and multiplied.
 Paths whose fused ratio reaches ``CUT`` of the page's deviation hold content.
-The content's container (the article or main element around it, else the
-deepest element with nearly all of it) then gives its whole text, short
-paragraphs and headings included, but for the parts that are boilerplate by tag
-or by class.
+
+The paths' text decides on the container: an article or main element if it holds
+``MOST`` of that text, else the deepest element with ``HOLDS`` of it.  Its text is
+returned whole, short paragraphs and headings included, but for
+
+* what boilerplate elements hold (``NEVER``),
+* what elements hold whose class, id or role says so (``MARKS``), unless that is
+  most of the page's text: then the name is taken for a layout's, and
+* parts of it without any content path that are mostly links.
 """
 
 from __future__ import annotations
@@ -25,59 +30,88 @@ from . import kernels as K
 #: Elements without content, with raw text, that start a block, that are never main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math".split())
+FOREIGN = frozenset("svg math iframe".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("head nav footer aside form button select option dialog menu header".split())
+NEVER = frozenset("head nav footer aside button select option dialog menu header".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div body center td html #".split())
 CLOSES_P = BLOCK - frozenset(("option", "legend", "caption"))
-#: Parts of class, id and role names that mark boilerplate.
+#: Class, id and role names (or their first or last part) that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus "
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo related recommended search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Marks that stand whatever the share of text, and on an article or main element too; first parts that take a mark back.
+FIRM = frozenset("comment comments disqus ad ads advert adverts advertisement sponsored".split())
+LAYOUT = frozenset("no not non has have with without is hide hides layout".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 CUT = 0.5
-#: Share of the content's text that a container must hold if there is no article element.
-HOLDS = 0.9
+#: Share of the content's text that an article or main element must hold to be its container, and any other element.
+MOST, HOLDS = 0.5, 0.9
+#: Share of its text in links that makes a part without content paths boilerplate.
+LINKS = 0.6
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SPLIT = re.compile(r"[\s_\-]+")
+PARTS = re.compile(r"[_\-]+")
 BLANK = re.compile(r"\s+")
 
 
+def mark_of(attributes: str) -> int:
+    """0: no mark, 1: a mark, 2: a firm one."""
+    found = 0
+    for a in ATTRIBUTE.finditer(attributes):
+        for name in (a[1] or a[2] or a[3] or "").lower().split():
+            parts = [x for x in PARTS.split(name) if x]
+            if not parts or parts[0] in LAYOUT:
+                continue
+            if parts[0] in MARKS or parts[-1] in MARKS:
+                found = max(found, 2 if parts[0] in FIRM or parts[-1] in FIRM else 1)
+    return found
+
+
 class _Element:
-    __slots__ = ("name", "parent", "path", "never", "heading")
+    """An element; ``path`` numbers its tag path, ``of`` counts characters below it: text, text of content paths, text in links."""
 
-    def __init__(self, name: str, parent: _Element | None, marked: bool):
-        self.name, self.parent = name, parent
-        self.path = f"{parent.path}/{name}" if parent else name
-        inside = parent is not None and parent.never
-        self.heading = name in HEADING or (parent is not None and parent.heading)
-        if name == "header" and not marked and parent is not None and any(e.name in ("article", "main") for e in _up(parent)):
-            self.never = inside  # an article's own header: its headings are kept, see _text
-        else:
-            self.never = inside or marked or name in NEVER
+    __slots__ = ("name", "parent", "path", "mark", "never", "heading", "body", "header", "link", "text", "content", "links")
 
-    def __repr__(self) -> str:
-        return self.path
+    def __init__(self, name: str, parent: _Element | None, path: int, mark: int):
+        self.name, self.parent, self.path, self.mark = name, parent, path, mark
+        self.heading = name in HEADING or (parent is not None and parent.heading)
+        self.body = name in ("article", "main") or (parent is not None and parent.body)
+        own_header = name == "header" and parent is not None and parent.body
+        # an article's own header is no boilerplate, but only its headings are text
+        self.header = own_header or (parent is not None and parent.header)
+        self.link = name == "a" or (parent is not None and parent.link)
+        self.never = (name in NEVER and not own_header) or (parent is not None and parent.never)
+        self.text = self.content = self.links = 0
 
 
-def _up(e: _Element | None):
-    while e is not None:
-        yield e
-        e = e.parent
+Node = tuple[_Element, str, int]
 
 
-def parse(page: str) -> list[tuple[_Element, str, int]]:
-    """Text nodes in page order: (element, decoded text, block number); malformed markup is closed as it goes.
+def parse(page: str) -> tuple[list[_Element], list[Node]]:
+    """Elements, parents first, and text nodes in page order: (element, decoded text, block number).
 
-    Nodes with the same block number belong to one block.
+    Nodes with the same block number belong to one block.  Malformed markup is
+    closed as it goes; a raw element without an end tag ends at the next tag.
     """
-    at, block = _Element("#", None, False), 0
-    out: list[tuple[_Element, str, int]] = []
-    pos, n = 0, len(page)
+    paths: dict[tuple[int, str], int] = {}
+    at = _Element("#", None, 0, 0)
+    elements, out, open_names = [at], [], Counter()
+    block = pos = 0
+    n = len(page)
+
+    def leave(e: _Element) -> _Element:
+        """Close elements up to and including ``e``."""
+        here = at
+        while True:
+            open_names[here.name] -= 1
+            if here is e:
+                return e.parent
+            here = here.parent
+
     while pos < n:
         m = TOKEN.search(page, pos)
         if m is None:
@@ -92,42 +126,60 @@ def parse(page: str) -> list[tuple[_Element, str, int]]:
         name = name.lower()
         if m[1]:
             block += name in BLOCK
-            for e in _up(at):
-                if e.name == name:
-                    at = e.parent
-                    break
-                if e.name in ("article", "main", "body", "table", "#") and name not in ("body", "html"):
-                    break
+            e = at if open_names[name] > 0 else None
+            while e is not None and e.name != name:
+                e = None if e.name in ("article", "main", "body", "table", "#") and name not in ("body", "html") else e.parent
+            if e is not None:
+                at = leave(e)
             continue
         if name in BLOCK:
             block += 1
             # a block ends an open paragraph, a list item or cell the one before it
-            for e in _up(at):
+            e = at
+            while e is not None:
                 if (e.name == "p" and name in CLOSES_P) or (e.name == name and name in ("li", "dd", "dt", "td", "th", "tr", "option")):
-                    at = e.parent
-                    break
-                if e.name in BLOCK:
+                    at = leave(e)
                     break
+                e = None if e.name in BLOCK else e.parent
+        closed = m[3].endswith("/")
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else n
+            if not (closed and name in FOREIGN):
+                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
+                if end is None:
+                    end = TOKEN.search(page, pos)
+                    pos = end.start() if end else n
+                else:
+                    pos = end.end()
             continue
         if name == "br":
             out.append((at, " ", block))
-        if name in VOID or m[3].endswith("/") and name not in BLOCK:
+        if name in VOID or closed and name not in BLOCK:
             continue
-        marked = False
-        if "=" in m[3] and name not in ("html", "body"):
-            marked = any(part in MARKS for a in ATTRIBUTE.finditer(m[3]) for part in SPLIT.split((a[1] or a[2] or a[3] or "").lower()))
-        at = _Element(name, at, marked)
-    return out
+        mark = mark_of(m[3]) if "=" in m[3] and name not in ("html", "body") else 0
+        at = _Element(name, at, paths.setdefault((at.path, name), len(paths) + 1), max(mark, int(name == "form")))
+        open_names[name] += 1
+        elements.append(at)
+    return elements, out
+
+
+def boilerplate(elements: list[_Element], nodes: list[Node]) -> None:
+    """Set ``never`` below marks: firm ones, and those of elements with less than half of the page's text."""
+    for e, text, _ in nodes:
+        if not e.never:
+            e.text += len(text.strip())
+    for e in reversed(elements[1:]):
+        e.parent.text += e.text
+    whole = elements[0].text
+    for e in elements[1:]:
+        counts = e.mark == 2 or (e.mark == 1 and e.name not in ("article", "main") and 2 * e.text < whole)
+        e.never = e.never or e.parent.never or counts
 
 
-def content_paths(nodes: list[tuple[_Element, str, int]]) -> set[str]:
+def content_paths(nodes: list[Node]) -> set[int]:
     """Paths whose fused ratio of text and punctuation passes the threshold."""
-    size: Counter[str] = Counter()
-    marks: Counter[str] = Counter()
-    count: Counter[str] = Counter()
+    size: Counter[int] = Counter()
+    marks: Counter[int] = Counter()
+    count: Counter[int] = Counter()
     order = []
     for e, text, _ in nodes:
         if e.never or not text.strip():
@@ -142,52 +194,56 @@ def content_paths(nodes: list[tuple[_Element, str, int]]) -> set[str]:
     length = smooth(np.array([size[p] / count[p] for p in order], float))
     dots = smooth(np.array([(1 + marks[p]) / count[p] for p in order], float))
     fused = length * dots
-    mean: dict[str, list[float]] = {}
+    mean: dict[int, list[float]] = {}
     for p, v in zip(order, fused.tolist()):
         mean.setdefault(p, []).append(v)
-    least = min(CUT * float(fused.std()), float(fused.max()))
+    least = min(CUT * float(fused.std()), max(sum(v) / len(v) for v in mean.values()))
     return {p for p, v in mean.items() if sum(v) / len(v) >= least}
 
 
-def _container(chosen: list[tuple[_Element, int]]) -> _Element | None:
-    """The outermost article or main element with the most content, else the deepest element that holds nearly all."""
-    weight: Counter[int] = Counter()
-    by: dict[int, _Element] = {}
-    for e, n in chosen:
-        for up in _up(e):
-            weight[id(up)] += n
-            by[id(up)] = up
-    total = sum(n for _, n in chosen)
-    articles = [k for k, e in by.items() if e.name in ("article", "main") and not any(u.name in ("article", "main") for u in _up(e.parent))]
-    if articles:
-        return by[max(articles, key=lambda k: weight[k])]
-    holding = [k for k in by if weight[k] >= HOLDS * total and by[k].name in CONTAINERS]
-    return by[max(holding, key=lambda k: by[k].path.count("/"))] if holding else None
+def container(elements: list[_Element]) -> _Element:
+    """The outermost article or main element with ``MOST`` of the content, else the deepest element with ``HOLDS`` of it."""
+    total = elements[0].content
+    for e in elements:
+        if e.name in ("article", "main") and not e.parent.body and e.content >= MOST * total:
+            return e
+    # elements follow their parents, so the last that holds enough is below all others that do
+    return [e for e in elements if e.content >= HOLDS * total and e.name in CONTAINERS][-1]
 
 
-def _text(nodes: list[tuple[_Element, str, int]], inside: _Element | None) -> str:
+def main_text(page: str | None) -> str:
+    """The main text of a page: blocks in page order, one a line; empty if there is none."""
+    elements, nodes = parse(page or "")
+    boilerplate(elements, nodes)
+    paths = content_paths(nodes)
+    if not paths:
+        return ""
+    for e in elements:
+        e.text = 0
+    for e, text, _ in nodes:
+        if not e.never:
+            n = len(text.strip())
+            e.text += n
+            e.content += n * (e.path in paths)
+            e.links += n * e.link
+    for e in reversed(elements[1:]):
+        e.parent.text += e.text
+        e.parent.content += e.content
+        e.parent.links += e.links
+    inside = container(elements)
+    kept = {id(inside): not inside.never}
+    for e in elements[1:]:
+        if id(e.parent) in kept and e is not inside:
+            listed = e.name in BLOCK and not e.content and e.text and e.links >= LINKS * e.text
+            kept[id(e)] = kept[id(e.parent)] and not e.never and not listed
     blocks: dict[int, list[str]] = {}
     for e, text, block in nodes:
-        if e.never:
-            continue
-        ups = list(_up(e))
-        if inside is not None and not any(u is inside for u in ups):
-            continue
-        if not e.heading and any(u.name == "header" for u in ups):
-            continue
-        blocks.setdefault(block, []).append(text)
+        if kept.get(id(e)) and (e.heading or not e.header):
+            blocks.setdefault(block, []).append(text)
     lines = (BLANK.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(x for x in lines if x)
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: blocks in page order, one a line; empty if there is none."""
-    nodes = parse(page or "")
-    paths = content_paths(nodes)
-    chosen = [(e, len(t.strip())) for e, t, _ in nodes if not e.never and e.path in paths and t.strip()]
-    return _text(nodes, _container(chosen)) if chosen else ""
-
-
 def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """Add the main text of each page as ``out_col`` and its code points as n_chars; input columns of these names are replaced.
 

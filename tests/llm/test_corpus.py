@@ -310,6 +310,45 @@ def test_search_prunes_without_loss():
         assert own == [(-int(x[i]), int(i)) for i in np.lexsort((ids, -x))[:10]]
 
 
+def brute_top(rows, k):
+    """By query, (rank, id, score) of the best with Python's whole numbers."""
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    out = {}
+    for q, v in good:
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, w in good if i != q and len(v) == len(w))
+            out[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(best[:k])]
+    return out
+
+
+def found_top(spark, rows, k, **settings):
+    got = {}
+    for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=k, **settings).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return {q: sorted(x) for q, x in got.items()}
+
+
+def test_cells_are_pruned_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "CELL_ROWS", 40)
+    monkeypatch.setattr(topk_search, "DATA_BLOCK", 50)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(12, 6)) * 5
+    rows = [(i, (centers[i % 12] + rng.normal(size=6) * 0.05).tolist()) for i in range(900)] + [(2000 + i, [1.0, 2.0]) for i in range(3)]
+    report = []
+    assert found_top(spark, rows, 5, report=report) == brute_top(rows, 5)
+    every, searched = report[0]
+    assert searched < every / 2
+
+
+def test_scores_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 10 ** rng.integers(0, 8)]) for i in range(130)] + [(200, [1e6] * 4), (201, [-1e6] * 4), (220, [0.0] * 4)]
+    assert found_top(spark, rows, 7) == brute_top(rows, 7)
+    a, b = rng.integers(-(1 << 40), 1 << 40, (5, 3)), rng.integers(-(1 << 20), 1 << 20, (4, 3))
+    assert topk_search.products(a.astype(float), b.astype(float)).tolist() == (a.astype(object) @ b.T.astype(object)).tolist()
+
+
 # -- near-dedup
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .fingerprint import fingerprints
 from .html_text import extract
 from .lang_id import identify
-from .license_scan import PHRASES, TEMPLATES, THRESHOLD, license_scan
+from .license_scan import PHRASES, TEMPLATES, THRESHOLD, license_scan, text_words
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pieces import encode
@@ -59,7 +59,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-_TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(TEMPLATES))
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', {len(text_words(text))}, {sorted(set(text_words(text)))}, {text_words(keys)}::VARCHAR[])" for k, (label, text, keys) in enumerate(TEMPLATES))
 _BASE = " UNION ALL ".join(
     f"SELECT row, '{label}' AS label, i - 1 AS start FROM d, unnest(range(1, len(words) + 1)) AS u(i) WHERE " + " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
     for phrase, label in PHRASES.items()
@@ -68,13 +68,17 @@ OP3_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, text, {_WORDS.format("text")} AS words FROM documents),
 base AS ({_BASE}),
 found AS (SELECT row, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM base GROUP BY row),
-t AS (SELECT id, label, list_distinct(string_split(words, ' ')) AS words FROM (VALUES {_TEMPLATE_ROWS}) AS v(id, label, words)),
-tw AS (SELECT id, label, len(words) AS size, unnest(words) AS word FROM t),
-line AS (SELECT row, k, string_split(coalesce(text, ''), chr(10))[k] AS line FROM d, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(k)),
-lw AS (SELECT DISTINCT row, k, unnest({_WORDS.format("line")}) AS word FROM line),
-hit AS (SELECT row, k, id, label, count(*) / size AS share, count(*) AS n, size FROM lw JOIN tw USING (word) GROUP BY row, k, id, label, size HAVING count(*) >= {THRESHOLD} * size),
-best AS (SELECT *, share = max(share) OVER (PARTITION BY row, k) AS top FROM hit),
-more AS (SELECT row, max(share) AS share, list_distinct(list(label) FILTER (top)) AS labels FROM best GROUP BY row)
+t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS v(id, label, size, words, keys)),
+tw AS (SELECT id, size, unnest(words) AS word FROM t),
+dw AS (SELECT row, k - 1 AS pos, words[k] AS word FROM d, unnest(range(1, len(words) + 1)) AS u(k)),
+inside AS (SELECT row, id, word, pos // size AS block FROM dw JOIN tw USING (word)),
+held AS (SELECT DISTINCT row, id, word, block FROM inside UNION SELECT row, id, word, block - 1 FROM inside WHERE block > 0),
+hit AS (
+  SELECT row, id, block, count(*) AS n, list(word) AS words FROM held GROUP BY row, id, block),
+matched AS (
+  SELECT row, label, n / len(t.words) AS share FROM hit JOIN t USING (id)
+  WHERE n >= {THRESHOLD} * len(t.words) AND list_has_all(hit.words, t.keys)),
+more AS (SELECT row, max(share) AS share, list_distinct(list(label)) AS labels FROM matched GROUP BY row)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(found.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,

@@ -187,21 +187,47 @@ def test_license_scan(spark):
     assert by[7] == [(1, 6003, 6003, "mit", "mit", 1.0)] and by[8] == [(0, None, None, "", "reserved", 1.0)] and by[None] == [(1, 0, 0, "apache", "apache", 1.0)]
 
 
+def brute_matches(text, threshold):
+    """(template, label, first word, containment) over all blocks of all templates."""
+    words, out = license_scan.text_words(text), set()
+    for k, (label, t, keys) in enumerate(license_scan.TEMPLATES):
+        size, t = len(license_scan.text_words(t)), set(license_scan.text_words(t))
+        for start in range(0, max(1, len(words)), size):
+            block = set(words[start : start + 2 * size])
+            share = len(t & block) / len(t)
+            # the last block of a text adds nothing to the one before that holds all of its words
+            if share >= threshold and set(keys.split()) <= block:
+                out.add((k, label, start, round(share, 9)))
+    return out
+
+
 def test_license_join_is_exact(spark):
-    """Filters lose no match: containment by brute force over random lines."""
+    """Filters lose no match: containment by brute force over random texts and parts of the templates."""
     rng = random.Random(2)
-    vocab = [w for _, t in license_scan.TEMPLATES for w in t.split()]
-    rows = [(i, "\n".join(" ".join(rng.choices(vocab, k=rng.randint(1, 14))) for _ in range(6))) for i in range(120)]
-    got = {r.doc_id: {(m.label, round(m.share, 9)) for m in r.matches} for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5).collect()}
-    for i, text in rows:
-        want = set()
-        for label, t in license_scan.TEMPLATES:
-            t = set(t.split())
-            for line in text.split("\n"):
-                share = len(t & set(line.split())) / len(t)
-                if share >= 0.5:
-                    want.add((label, round(share, 9)))
-        assert got[i] == want
+    texts = [license_scan.text_words(t) for _, t, _ in license_scan.TEMPLATES]
+    vocab = sorted({w for t in texts for w in t}) + ["other", "words"] * 40
+    rows = []
+    for i in range(100):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            t = list(rng.choice(texts))
+            for _ in range(rng.randint(0, len(t) // 3)):
+                t[rng.randrange(len(t))] = "changed"
+            parts += rng.choices(vocab, k=rng.randint(0, 60)) + t
+        rows.append((i, "".join(w + rng.choice([" ", "\n", ", "]) for w in parts)))
+    for threshold in (0.5, 0.8):
+        got = license_scan.license_scan(spark.createDataFrame([*rows, *rows[:2]], "doc_id long, text string"), threshold=threshold).collect()
+        assert len(got) == 102
+        for r in got:
+            assert {(m.t, m.label, m.first_word, round(m.share, 9)) for m in r.matches} == brute_matches(rows[r.doc_id][1], threshold)
+
+
+def test_license_texts_may_be_wrapped(spark):
+    grant = license_scan.TEMPLATES[1][1]
+    words = grant.split()
+    rows = [(1, "/* " + "\n * ".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9)) + " */"), (2, "All rights reserved. Redistribution and use in source and binary forms, with or without modification, is permitted"), (3, "Licensed under CC BY-NC 4.0."), (4, "\u212aelvin MIT Licen\u017fe")]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].labels for k in (1, 2, 3, 4)] == ["mit", "bsd,reserved", "cc-by-nc", ""] and got[4].n_words == 3
 
 
 # -- fingerprints

@@ -11,15 +11,30 @@ from pyspark.sql.streaming import StreamingQuery
 from .session import WEIGHT, StreamSession
 
 
-def run_stream(session: StreamSession, table: str, stream: DataFrame, sink: Callable[[int, dict[str, DataFrame]], None], *, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def run_stream(session: StreamSession, table: str, stream: DataFrame, sink: Callable[[int, dict[str, DataFrame]], None], *, checkpoint: str, state: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Feed a streaming DataFrame with the table's columns (and weights in ``_w``) to a session.
 
-    ``sink(batch_id, changes)`` gets each transaction's changes.  Micro-batches
-    arrive in order and once in a running query; the checkpoint keeps the source's
-    position, and ``session.checkpoint`` the state.
+    ``sink(batch_id, changes)`` gets each transaction's changes.  The checkpoint keeps
+    the source's position; with ``state``, the session is written there in turn to
+    ``a`` and ``b`` before each batch counts as done, and ``StreamSession.restore`` from
+    the later one continues after a restart.  A batch that the session has had is not
+    taken in twice; it goes neither in nor to the sink.
     """
+
     def batch(df: DataFrame, batch_id: int) -> None:
-        sink(batch_id, session.step({table: df}))
+        if batch_id <= session.fed.get(table, -1):
+            return
+        before, had = session.state(), session.fed.get(table, -1)
+        try:
+            sink(batch_id, session.step({table: df}))
+            if state:
+                session.fed[table] = batch_id
+                session.checkpoint(f"{state}/{'ab'[batch_id % 2]}")
+        except Exception:
+            session.reset(before)
+            session.fed[table] = had
+            raise
+        session.fed[table] = batch_id
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

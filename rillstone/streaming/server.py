@@ -69,11 +69,16 @@ class Host:
     def _advance(self) -> None:
         if not self.running or self.open or not self.waiting:
             return
-        self.session.begin()
-        for table, df in self.waiting:
-            self.session.push(table, df)
+        before = self.session.state()
+        try:
+            self.session.begin()
+            for table, df in self.waiting:
+                self.session.push(table, df)
+            changes = self.session.collect(self.session.commit())
+        except Exception:  # the rows wait for the next transaction, which the session is free for
+            self.session.reset(before)
+            raise
         self.waiting = []
-        changes = self.session.collect(self.session.commit())
         self.steps += 1
         for name, rows in changes.items():
             if rows:

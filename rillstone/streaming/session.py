@@ -51,6 +51,8 @@ class StreamSession:
                 raise KeyError(f"no stream `{name}`")
         self.outputs, self.incremental = outputs, incremental
         self.scratch = Scratch(self.spark)
+        #: By table, the last micro-batch of a stream that went in.
+        self.fed: dict[str, int] = {}
         self.time = -1
         self.inputs = {i: n for i, n in enumerate(self.graph.nodes) if n.op == "input"}
         self.integrals = {i: n for i, n in enumerate(self.graph.nodes) if n.op == "integrate"}
@@ -120,7 +122,24 @@ class StreamSession:
             raise RuntimeError("a transaction is open")
         return self._advance({t: self._batch(t, d) for t, d in (tables or {}).items()})
 
+    def state(self) -> tuple:
+        """What a transaction changes, for ``reset``."""
+        return self.time, {i: list(x) for i, x in self.totals.items()}, {i: list(x) for i, x in self.batches.items()}, dict(self.logs)
+
+    def reset(self, state: tuple) -> None:
+        """Take back the transactions since ``state``, and one that is open."""
+        self.time, self.totals, self.batches, self.logs = state
+        self.pending = None
+
     def _advance(self, batches: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        before = self.state()
+        try:
+            return self._advanced(batches)
+        except Exception:
+            self.reset(before)
+            raise
+
+    def _advanced(self, batches: dict[str, DataFrame]) -> dict[str, DataFrame]:
         self.time += 1
         for i, node in self.inputs.items():
             table, part, off = node.info
@@ -197,7 +216,7 @@ class StreamSession:
             if df is not None:
                 tables[f"log-{i}-0"] = "x"
                 df.write.mode("overwrite").parquet(f"{path}/log-{i}-0")
-        manifest = {"program": self.digest(), "time": self.time, "tables": sorted(tables), "offsets": [[t, p, n] for (t, p), n in self.next_offset.items()], "kept": {str(i): len(k) for i, k in self.totals.items()}}
+        manifest = {"program": self.digest(), "time": self.time, "tables": sorted(tables), "offsets": [[t, p, n] for (t, p), n in self.next_offset.items()], "kept": {str(i): len(k) for i, k in self.totals.items()}, "fed": self.fed}
         self.spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
     @classmethod
@@ -207,7 +226,7 @@ class StreamSession:
         manifest = json.loads("".join(r[0] for r in own.spark.read.text(f"{path}/manifest").collect()))
         if manifest["program"] != own.digest():
             raise ValueError("the checkpoint is of another program")
-        own.time = manifest["time"]
+        own.time, own.fed = manifest["time"], manifest.get("fed", {})
         own.next_offset = {(t, p): n for t, p, n in manifest["offsets"]}
         have = set(manifest["tables"])
         load = lambda name: own.spark.read.parquet(f"{path}/{name}") if name in have else None

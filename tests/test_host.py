@@ -56,6 +56,52 @@ def test_micro_batches_are_transactions(spark, tmp_path):
     assert sorted(s.collect({"out": s.snapshot("out")})["out"]) == [[1, "x", 2], [1, "y", 2]]
 
 
+def test_batches_go_in_once(spark, tmp_path):
+    """A batch whose sink failed is taken back and comes again; one that a restored session has had stays out."""
+    for i in range(2):
+        spark.createDataFrame([("x", i), ("y", i)], "k string, v long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = StreamSession(spark, PROGRAM, ["out"])
+    got, calls = [], []
+
+    def sink(n, changes):
+        calls.append(n)
+        if len(calls) == 2:
+            raise OSError("the sink is away")
+        got.append(s.collect(changes)["out"])
+
+    def run(session, cp, to=sink):
+        stream = session.spark.readStream.schema("k string, v long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        run_stream(session, "a", stream, to, checkpoint=str(tmp_path / cp), state=str(tmp_path / "state")).awaitTermination(120)
+
+    with pytest.raises(Exception, match="the sink is away"):
+        run(s, "cp")
+    assert s.fed == {"a": 0} and sorted(s.collect({"out": s.snapshot("out")})["out"]) == [[1, "x", 1], [1, "y", 1]]
+    run(s, "cp")
+    want = [[1, "x", 2], [1, "y", 2]]
+    assert calls == [0, 1, 1] and sorted(s.collect({"out": s.snapshot("out")})["out"]) == want
+    again = StreamSession.restore(spark, PROGRAM, ["out"], str(tmp_path / "state" / "b"))
+    run(again, "other", lambda n, changes: calls.append("twice"))
+    assert "twice" not in calls and sorted(again.collect({"out": again.snapshot("out")})["out"]) == want
+
+
+def test_host_survives_a_failed_commit(spark, monkeypatch):
+    host = Host(StreamSession(spark, PROGRAM, ["out"]), materialized=frozenset(["out"]))
+    server = serve(host)
+    try:
+        collect = host.session.collect
+        monkeypatch.setattr(host.session, "collect", lambda changes: (_ for _ in ()).throw(OSError("lost")))
+        try:
+            status = call(server, "/ingress/a", '{"insert": {"k": "x", "v": 1}}')[0]
+        except OSError:  # the connection is dropped
+            status = 500
+        assert status >= 500 and host.session.pending is None and host.session.time == StreamSession(spark, PROGRAM, ["out"]).time
+        monkeypatch.setattr(host.session, "collect", collect)
+        assert call(server, "/ingress/a", '{"insert": {"k": "x", "v": 2}}')[0] == 200
+        assert call(server, "/egress/out")[1][0]["json_data"] == [{"insert": {"key": "x", "value": 2}}]
+    finally:
+        server.shutdown()
+
+
 T = record({"a": array(I64), "b": BYTES, "d": DATE, "f": F64, "i": INTERVAL, "j": JSON, "m": dict_of(I64, STRING), "o": optional(STRING), "t": TIME, "ts": TIMESTAMP})
 ROW = {"a": [1, 2], "b": {"base64": "aGk="}, "d": "2024-01-15", "f": 1.5, "i": "P1DT2H", "j": {"z": [1, 1.0], "a": None}, "m": {"2": "x", "10": "y"}, "o": None, "t": "14:30:00.5", "ts": "2024-01-15 14:30:00"}
 

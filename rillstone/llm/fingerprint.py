@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import small_batches
 from .ranges import id_ranges, input_size
 
 EQUAL, SEEDS = 8, 4
@@ -30,6 +31,8 @@ LOW32 = 0xFFFFFFFF
 LANE = 0x3FFFFFFF  # a lane's values
 LANES = 0x3FFFFFFF3FFFFFFF  # two lanes in a long, two free bits above each
 ONES = 0x0000000100000001
+NIBBLES = 0x1111111111111111  # the lowest bits of a long's 16 fields
+FIELDS = 0x0000FFFF0000FFFF
 FEW = 1 << 15
 
 
@@ -47,11 +50,15 @@ def with_vector(df: DataFrame, text: str, out: str) -> DataFrame:
     h = "__h"
     df = df.withColumn(h, F.expr(f"struct({paragraphs} AS p, {pieces} AS q)")).withColumn(h, F.expr(f"struct({h}.p.*, {h}.q.*)"))
     equal = ", ".join(f"{_sum32(f'{h}.e{s}', 'h')}, {_sum32(f'{h}.e{s}', 'shiftrightunsigned(h, 32)')}" for s in range(SEEDS))
+    # seven pieces are counted in fields of four bits (the highest must not reach the sign), so what follows reads words of blocks, not each piece
+    blocks = "transform(sequence(0L, (size({b}) - 1) div 7), k -> transform(array(slice({b}, CAST(7 * k AS INT) + 1, 7)), t -> array({words}))[0])"
+    words = ", ".join(f"aggregate(t, 0L, (a, h) -> a + (shiftrightunsigned(h, {s}) & {NIBBLES}L))" for s in range(4))
     # fewer than FEW pieces can't fill 16 bits, so four counts fit in a long and are dealt to lanes at the end
-    many = "transform(sequence(0, 31), s -> aggregate({b}, 0L, (a, h) -> ((a & {lanes}L) + (shiftrightunsigned(h, s) & {ones}L))))"
-    packed = "transform(sequence(0, 15), s -> aggregate({b}, 0L, (a, h) -> a + (shiftrightunsigned(h, s) & {fours}L)))"
-    few = f"transform(array({packed}), q -> concat(transform(q, x -> x & {{pairs}}L), transform(q, x -> shiftright(x, 16) & {{pairs}}L)))[0]"
-    lanes = ", ".join(f"CASE WHEN size({h}.b{s}) < {FEW} THEN {few} ELSE {many} END".format(b=f"{h}.b{s}", lanes=LANES, ones=ONES, fours=ONES << 16 | ONES, pairs=0x0000FFFF0000FFFF) for s in (11, 12))
+    each = lambda most, step: ", ".join(f"aggregate(w, 0L, (a, x) -> {step.format(x=f'(shiftrightunsigned(x[{s % 4}], {s // 4 * 4})')})" for s in range(most))
+    many = f"array({each(32, f'(a & {LANES}L) + {{x}} & {7 * ONES}L)')})"
+    packed = f"array({each(16, f'a + {{x}} & {7 * (ONES << 16 | ONES)}L)')})"
+    few = f"transform(array({packed}), q -> concat(transform(q, x -> x & {FIELDS}L), transform(q, x -> shiftright(x, 16) & {FIELDS}L)))[0]"
+    lanes = ", ".join(f"transform(array({blocks.format(b=f'{h}.b{s}', words=words)}), w -> CASE WHEN size({h}.b{s}) < {FEW} THEN {few} ELSE {many} END)[0]" for s in (11, 12))
     vector = f"concat(array({equal}, CAST(size({h}.b11) AS BIGINT)), transform(concat({lanes}), x -> x & {LANES}L))"
     return df.withColumn(out, F.expr(vector)).drop(h)
 
@@ -125,6 +132,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Equal texts have equal fingerprints; so have texts that differ only in the
     order of paragraphs.  Other columns take no part.  An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     both = with_next(with_vector(docs, "text", "v"), {"next_text": "text", "next_v": "v"}, id_col="id", tie="text")
     third = F.floor(F.length("text") / 3).cast("int")

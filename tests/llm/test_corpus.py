@@ -263,6 +263,21 @@ def test_rows_without_id_follow_themselves(spark):
     assert len(got) == 80 and all(r.after == (r.text if r.doc_id is None else f"own {(r.doc_id - 1) % 40}") for r in got)
 
 
+def test_counts_of_bits_at_the_ends_of_blocks(spark):
+    texts = ["\n".join(f"p{k % 50}" for k in range(n)) for n in (1, 6, 7, 8, 14, 15, 100, fingerprint.FEW - 1, fingerprint.FEW, fingerprint.FEW + 8)]
+    df = fingerprint.with_vector(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "text", "v")
+    got = df.withColumn("s", fingerprint.signs("v")).select("k", "v", "s").collect()
+    by_lane = [64 * h + b + half for h in range(2) for b in range(32) for half in (0, 32)]
+    assert all(r.s == sign_sums(texts[r.k])[by_lane].tolist() and r.v[fingerprint.EQUAL] == texts[r.k].count("\n") + 1 for r in got)
+
+
+def test_fingerprints_read_few_rows_at_once(spark):
+    own = spark.newSession()  # with the reader's usual 4096 rows
+    own.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    got = fingerprint.fingerprints(own.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")).count()
+    assert got == 2 and int(own.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= kernels.READ_ROWS
+
+
 def test_fingerprints(docs):
     rows = corpus()
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: (-r[0], r[1] or ""))

@@ -113,6 +113,21 @@ def test_words_of_thue_and_morse_differ(spark):
     assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 0, 3: 50}
 
 
+#: Two words with one hash (found by matching sums of four parts of 14 letters).
+TWINS = "bbbcbcbcbcbbcbcccbccbbcbcbbcbbbccbbbbbbbccbbbcbbcbbbbcbb", "cbbbcbcbcbbcbcbbbcbbbcbcbbbbbccbbcccbcbbbbcbbbbbbccccbbb"
+
+
+@pytest.mark.parametrize("chunk", [1 << 23, 300])
+def test_equal_hashes_of_other_words_cut_nothing(spark, chunk):
+    (_, _, w), = kernels.word_blocks(pa.array([" ".join(TWINS)]), kernels.SPACE)
+    assert w.hashes[0] == w.hashes[1] and TWINS[0] != TWINS[1]
+    lead, tail = " ".join(f"v{i}" for i in range(30)), " ".join(f"x{i}" for i in range(25))
+    rows = [(k, f"{lead}\n {TWINS[k % 3 == 2]}  {tail}") for k in range(1, 13)] + [(20, None), (None, f"{lead} {TWINS[0]} {tail}"), (21, " ".join(f"v{i}" for i in range(30)))]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=repr) == brute_substrings(rows)
+    assert {r.doc_id for r in got.where("n_removed = 0").collect()} == {1, 2, 20, 21, None}
+
+
 @pytest.mark.parametrize("size", [1, 2, 5, 50, 64, 65, 130, 200])
 def test_windows_are_told_by_their_words(size):
     rng = random.Random(size)

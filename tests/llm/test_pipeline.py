@@ -2,6 +2,7 @@
 
 import corpus_pipeline as P
 from rillstone.llm import queries
+from test_corpus import TWINS
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,5 +24,12 @@ def test_stages(spark):
     assert e.count() == d.count() and e.where("NOT round_trip").isEmpty()
 
 
+def test_substrings_compares_words(spark):
+    lead = " ".join(f"v{i}" for i in range(49))
+    rows = [(k, f"{lead}\n{w}", "en", "s", 0) for k, w in enumerate((*TWINS, TWINS[1]))]
+    got = P.substrings(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert {r.doc_id: r.text for r in got.collect()} == {0: rows[0][1], 1: rows[1][1], 2: ""}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
